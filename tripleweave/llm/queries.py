@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import decontamination, mixing, quality, simhash, tokens, url_filter
+from tripleweave.llm import decontamination, html_extraction, language_id, mixing, pii, quality, simhash, tokens, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,10 +30,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(_read(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(_read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predicted(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(_read(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -52,7 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_simhash": op2_simhash,
+    "op3_html": op3_html,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op7_language": op7_language,
     "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
