@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import decontamination, html_extraction, language_id, mixing, pii, quality, simhash, tokens, url_filter
+from tripleweave.llm import decontamination, html_extraction, language_id, mixing, pii, quality, simhash, suffix_dedup, tokens, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.held_out(F.col("doc_id"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix": op6_suffix,
     "op7_language": op7_language,
     "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,

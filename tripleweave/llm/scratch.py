@@ -7,6 +7,7 @@ its rows are read again from shared storage instead of being computed again.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,9 @@ def dropped(*tables: DataFrame) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that no live plan needs; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
