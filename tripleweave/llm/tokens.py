@@ -21,7 +21,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,34 @@ _HEAD = struct.Struct("<4sBBxxIQQ")
 #: Token ids in a shard: it ends with the document that reaches this many.
 SHARD_IDS = 2 << 20
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 600_000
 END_ID = 2
 
 
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+def _parts(word: bytes) -> tuple[str, str]:
+    """A word as what is remembered of it: in lower case, without the punctuation at its end, and that.
+
+    Only where the tokenizer treats both alike: up to U+00FF a character's lower case is one character
+    and nothing composes, and its pattern always cuts between a letter or digit and other signs, but
+    for an apostrophe. Else the word stays as it is.
+    """
+    core = word.rstrip(_PUNCTUATION)
+    if core.isalnum():  # ASCII
+        return core.lower().decode(), word[len(core) :].decode()
+    text = word.decode("utf-8", "replace")
+    if b"'" in word or b"<|" in word or max(text) > "\xff":
+        return text, ""
+    core = core.decode("utf-8", "replace")
+    if not core or not (core[-1].isalpha() or core[-1] in "0123456789") or core[-1] in "\xaa\xb5\xba":
+        return text.lower(), ""
+    return core.lower(), text[len(core) :]
+
+
 class Encoder:
-    """Encodes texts, word by word."""
+    """Encodes texts, word by word. Once MEMORY words and as many parts are known, others are encoded anew in each batch."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,42 +75,43 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         self.wide = max(self.tokenizer.get_vocab_size(True) - 1, end_id) > 0xFFFF
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if not new:
-            return
-        if self.known and len(self.known) + len(new) > MEMORY:
-            self._clear()
-            new = list(dict.fromkeys(words))
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
-        first = len(self.known)
-        for name, need in (("flat", self.used + len(ids)), ("starts", first + len(new)), ("lengths", first + len(new))):
-            if need > len(now := getattr(self, name)):
-                setattr(self, name, np.concatenate([now, np.zeros(max(need, 2 * len(now)) - len(now), now.dtype)]))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[first : first + len(new)] = self.used + np.cumsum(n) - n
-        self.lengths[first : first + len(new)] = n
-        self.used += len(ids)
-        self.known.update(zip(new, range(first, first + len(new))))
+        self.parts: dict[str, bytes] = {"": b""}
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        split = [_parts(w) for w in words]
+        new = [p for p in dict.fromkeys(p for x in split for p in x) if p not in self.parts]
+        got = [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+        of = self.parts
+        if len(of) + len(new) <= MEMORY:
+            of.update(zip(new, got))
+        else:
+            of = ChainMap(dict(zip(new, got)), of)
+        return [of[a] + of[b] if b else of[a] for a, b in split]
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text's, and the number of each text's ids."""
         words = [(t or b"").split() for t in texts]
-        flat = [w for x in words for w in x]
-        self._learn(flat)
-        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        n = self.lengths[which]
+        every = [w for x in words for w in x]
+        which = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(which < 0).tolist()
+        flat, starts, lengths = self.flat, self.starts, self.lengths
+        if missing:
+            new = dict.fromkeys(every[i] for i in missing)
+            ids = self._encoded(list(new))
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            first = len(starts)
+            new = dict(zip(new, range(first, first + len(new))))
+            which[missing] = [new[every[i]] for i in missing]
+            starts, lengths = np.concatenate([starts, len(flat) + np.cumsum(n) - n]), np.concatenate([lengths, n])
+            flat = np.concatenate([flat, np.frombuffer(b"".join(ids), "<u4")])
+            if len(self.known) + len(new) <= MEMORY:
+                self.known.update(new)
+                self.flat, self.starts, self.lengths = flat, starts, lengths
+        n = lengths[which]
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.starts[which] - total[:-1], n) + np.arange(total[-1])]
+        ids = flat[np.repeat(starts[which] - total[:-1], n) + np.arange(total[-1])]
         ends = total[np.cumsum([len(x) for x in words], dtype=np.int64)] if texts else total[:0]
         return np.insert(ids, ends, self.end), np.diff(np.concatenate([[0], ends])) + 1
 
