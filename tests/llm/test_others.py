@@ -1,0 +1,159 @@
+"""URL filter, HTML extraction, PII and language identification."""
+
+import random
+import re
+
+import pytest
+
+from tests.llm import tables
+from tripleweave.llm import html_extraction as H
+from tripleweave.llm import language_id as L
+from tripleweave.llm import pii
+from tripleweave.llm import url_filter as U
+
+
+def _judge(spark, urls, **options):
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    return {urls[r.page_id]: r for r in U.judged(pages, **options).collect()}
+
+
+def test_url_rules_and_parts(spark):
+    got = _judge(spark, ["HTTPS://WWW.Example.COM/en/1?q", "https://m.example.com/en/", "http://x.net/es/2#a", "http://x.net/es", "ftp://xcom/", "no scheme", None, "", "http://a.com", "https://u.net?x=/es/", "http://net/fr/", "http://ex.org/a://b"])
+    say = {k: (r.host, r.path, r.rule, r.verdict) for k, r in got.items()}
+    assert say["HTTPS://WWW.Example.COM/en/1?q"] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert say["https://m.example.com/en/"][2:] == ("example.com/en/", "block")
+    assert say["http://x.net/es/2#a"] == ("x.net", "/es/2", "net/es/", "block")
+    assert say["http://x.net/es"][2:] == (None, "allow")
+    assert say["ftp://xcom/"][2] is None
+    assert say["no scheme"] == say[None] == say[""] == ("", "", None, "allow")
+    assert say["http://a.com"][2] is None
+    assert say["https://u.net?x=/es/"][:2] == ("u.net", "")
+    assert say["http://net/fr/"][2] == "net/fr/"
+    assert say["http://ex.org/a://b"][:2] == ("ex.org", "/a://b")
+
+
+def test_url_vocabulary(spark):
+    got = _judge(spark, ["http://essex.org/sussexxxx", "http://a.xxx.org/", "http://win.org/", "http://free-bets.org/", "http://win.org/free/cheap", "http://win.org/win/win", "http://best-poker.org/bonus"], rules=())
+    assert [r.verdict for r in got.values()] == ["allow", "block", "allow", "block", "block", "allow", "block"]
+    pages = spark.createDataFrame([(1, "http://porn.org", 1), (2, None, 2)], "page_id long, url string, verdict long")
+    assert [tuple(r) for r in U.allowed(pages).collect()] == [(2, None, 2)]
+
+
+def _gold(page):
+    import html
+
+    inside = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", "")
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside))
+    return "\n".join(x for x in blocks if x)
+
+
+def test_html_held_out_pages():
+    model, pages = H.trained(), H.labelled_pages(150, seed=77)
+    right = sum(model.extract(p) == t for p, t in pages)
+    assert right >= 0.97 * len(pages)
+
+
+def test_html_cases(spark):
+    page = "<html><head><title>T</title></head><body><nav><ul><li><a href='/a>b'>Menu</a></ul></nav><div class=ad>Buy it now.</div><article><h1>Head &amp; more</h1><p><b>First  line.<br><p>Second&nbsp;line &lt;b&gt;.<script>var t='</p>';</script></p><p>x</p></article><footer>&copy; us</footer>"
+    rows = [(1, None, page), (2, "u", None), (3, "u", ""), (4, "u", "<"), (5, "u", "<!-- only"), (6, "u", "<p>never closed <b"), (7, "u", "plain words, no markup.")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "page_id long, url string, html string, n_chars long")
+    got = {r.page_id: r for r in H.extracted(df).collect()}
+    assert got[1].text == "Head & more\nFirst line.\nSecond line <b>.\nx" and got[1].n_chars == len(got[1].text)
+    assert [got[i].text for i in (2, 3, 5)] == ["", "", ""] and got[2].n_chars == 0
+    assert H.extracted(df.limit(0)).count() == 0
+    assert "_n_chars" in H.extracted(df, keep=tuple(df.columns)).columns
+
+
+def test_html_marginals_match_enumeration():
+    """Sum-product against all assignments of a small tree."""
+    import itertools
+
+    model = H.trained()
+    root, blocks = H.parse("<div><p>Some words here.</p><nav><a href=x>Go</a></nav></div>")
+    nodes = H._order(root)
+    total, content = 0.0, dict.fromkeys(map(id, nodes), 0.0)
+    for states in itertools.product(range(3), repeat=len(nodes)):
+        of = dict(zip(map(id, nodes), states))
+        w = 1.0
+        for n in nodes:
+            w *= model._emits(n)[of[id(n)]]
+            if n.parent is not None:
+                w *= model.edge["#text" if n.tag == "#text" else "element"][of[id(n.parent)]][of[id(n)]]
+        total += w
+        for n in nodes:
+            content[id(n)] += w * (of[id(n)] == H.CONTENT)
+    got = model.marginals(root)
+    for n in nodes:
+        assert got[id(n)][H.CONTENT] == pytest.approx(content[id(n)] / total, abs=1e-9)
+
+
+def test_permutation_is_one_to_one():
+    for size in (1, 2, 10, 97, 1000):
+        assert sorted(pii.permuted(i, size, b"k", "t") for i in range(size)) == list(range(size))
+
+
+def test_pii_surrogates_keep_type_and_format():
+    text = "Mail jo.é3@mail7.example.com or call +1 (017) 555-7713, from 10.0.0.1; card 4111 1111 1111 1111 or 9807915762804490. token = \"" + "ab12" * 10 + "\". Frau Müller and Mr. John O'Neil spoke; Госпожа Иванова too. Version 2.0. Room 12."
+    new, found = pii.replaced(text)
+    assert [e.kind for e in found] == ["email", "phone", "ipv4", "number", "number", "secret", "person", "person", "person"]
+    assert len(new) - len(text) == len(next(e for e in pii.found(new) if e.kind == "ipv4").text) - len("10.0.0.1")
+    for e in found:
+        s = pii.surrogate(e.kind, e.text)
+        assert s != e.text and e.text not in new
+        if e.kind != "ipv4":
+            assert [c.isdigit() for c in s] == [c.isdigit() for c in e.text] and [c.isupper() for c in s] == [c.isupper() for c in e.text]
+    assert "Frau " in new and "Госпожа " in new and new.endswith("Version 2.0. Room 12.")
+    assert re.search("[а-я]", pii.surrogate("person", "Иванова")) and pii.surrogate("person", "Иванова")[-1] == "а"
+    assert pii.replaced(text) == (new, found) != pii.replaced(text, b"other key")
+
+
+def test_pii_table_and_collision_check(spark):
+    a = "1234-5678-9012-3456"
+    b = pii.surrogate("number", a)  # somebody's real number
+    rows = [(1, f"x {a} y"), (2, f"x {b} y"), (3, None), (4, "clean text"), (4, "clean text"), (5, "")]
+    out = pii.pseudonymized(tables.frame(spark, rows), keep=("doc_id", "n_words"))
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == 6 and got[3].text is None and got[4].text == "clean text" and got[4].n_entities == 0 and got[5].text == ""
+    first, second = (re.search(r"x (.*) y", got[i].text)[1] for i in (1, 2))
+    assert len({first, second, a, b}) == 4
+    assert pii.pseudonymized(tables.frame(spark, rows).limit(0)).count() == 0
+
+
+def _languages(n, seed):
+    r = random.Random(seed)
+    syllables = {"aa": "ka ti mo lu re sa".split(), "bb": "sch ung ver ein ich heit".split(), "cc": "ão ç nh lha mente ção".split()}
+    return [(i, " ".join("".join(r.choices(s, k=r.randint(1, 3))) for _ in range(r.randint(3, 40))), lang) for i, (lang, s) in enumerate(r.choice(list(syllables.items())) for _ in range(n))]
+
+
+def test_language_held_out_accuracy_and_cases(spark):
+    rows = _languages(400, 3)
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, lang string, score int")
+    ours = L.held_out(docs["doc_id"])
+    model = L.fit(docs.where(~ours))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predicted(docs.where(ours), model).collect()}
+    truth = {d: lang for d, _, lang in rows}
+    assert len(got) > 50 and sum(truth[d] == x for d, (x, _) in got.items()) >= 0.98 * len(got)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 .,!"), (4, "KATI mo"), (4, "KATI mo")], "doc_id long, text string")
+    out = sorted(tuple(r) for r in L.predicted(odd, model).collect())
+    assert [x[1] for x in out] == ["und", "und", "und", "aa", "aa"] and out[0][2] == 0.0 and 0 < out[3][2] <= 1
+    assert [r.lang_pred for r in L.predicted(odd, {}).collect()] == ["und"] * 5
+    assert L.fit(docs.limit(0)) == {}
+
+
+def test_language_vectors_match_the_definition():
+    import numpy as np
+
+    def plain(t):
+        seq = [0]
+        for x in [*(int(L._letters()[ord(c)]) for c in t), 0]:
+            if x or seq[-1]:
+                seq.append(x)
+        v = np.zeros(L.DIMENSIONS)
+        for a, b, c in zip(seq, seq[1:], seq[2:]):
+            v += np.roll(L.letter_vector(a).astype(float), 2) * np.roll(L.letter_vector(b).astype(float), 1) * L.letter_vector(c)
+        return v
+
+    texts = ["", None, "a", "ab. c", "Ünï cödé", "漢字 かな 한국", "x" * 50, " . ", "a1b", ""]
+    got = L.Grams([t.encode() if t is not None else None for t in texts]).vectors(len(texts))
+    for i, t in enumerate(texts):
+        assert np.array_equal(got[i], plain(t or ""))
