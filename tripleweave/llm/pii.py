@@ -9,10 +9,10 @@ surrogate (distinctness) and one entity has the same one everywhere (coreference
 of all entities.
 
 The collision check finds surrogates that are somebody's real data: all distinct entities of all
-documents are joined with their surrogates, and each entity found is permuted again until its
-surrogate is nobody's (walking a permutation's cycle keeps it one-to-one). These exceptions are
-broadcast up to MAX_EXCEPTIONS; beyond, formats are so dense that every surrogate is somebody's, and
-only distinctness and coreference hold.
+documents are joined with their surrogates, and each entity found draws anew, with another key, until
+its surrogate is nobody's data and nobody else's surrogate. These exceptions are broadcast up to
+MAX_EXCEPTIONS; beyond, or after ATTEMPTS draws, a format is so full that the first surrogate stays:
+then only distinctness and coreference hold.
 
 Defined cases: a null text stays null and has no entity. Overlapping finds go to the one that starts
 first, then to the longer. Repeated rows are treated alike. Extra columns are ignored.
@@ -35,7 +35,7 @@ from tripleweave.llm.scratch import dropped, written
 from tripleweave.llm.textmap import arrow_map, pieces, unused, with_text_columns
 
 KEY = b"replace this key in production"
-MAX_EXCEPTIONS = 200_000
+MAX_EXCEPTIONS, ATTEMPTS = 200_000, 20
 
 TITLES = (
     "Mr", "Mrs", "Ms", "Miss", "Sir", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mademoiselle", "Señor", "Señora", "Señorita", "Don", "Doña",
@@ -49,7 +49,8 @@ _PATTERNS = (
     ("phone", None, re.compile(r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\d{3}[.-]\d{3}[.-]\d{4}(?!\w)", re.ASCII)),
     ("number", None, re.compile(r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{3}-\d{2}-\d{4})(?!\w)", re.ASCII)),
 )
-_PERSON = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({_NAME}(?: {_NAME}){{0,2}})")
+_TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ")
+_NAMED = re.compile(_NAME)
 _DIGIT = re.compile(r"\d")
 
 #: The alphabets within which characters are permuted. A character in none of them stays.
@@ -76,15 +77,15 @@ def found(text: str) -> list[Entity]:
         if (digits or kind in ("email", "secret")) and (sign is None or sign in text):
             out += [Entity(kind, m.start(), m.end(), m.group()) for m in pattern.finditer(text)]
     if any(t in text for t in TITLES):
-        for m in _PERSON.finditer(text):
-            names = []
-            for w in m.group(1).split(" "):
-                if not w[0].isupper():
+        for m in _TITLE.finditer(text):
+            start = at = m.end()
+            for _ in range(3):
+                name = _NAMED.match(text, at + (at > start))
+                if not name or not name.group()[0].isupper() or name.group() in TITLES or (at > start and text[at] != " "):
                     break
-                names.append(w)
-            if names:
-                name = " ".join(names).rstrip("'’-")
-                out.append(Entity("person", m.start(1), m.start(1) + len(name), name))
+                at = name.end()
+            if at > start:
+                out.append(Entity("person", start, at, text[start:at]))
     out.sort(key=lambda e: (e.start, -e.end))
     kept: list[Entity] = []
     for e in out:
@@ -159,29 +160,38 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return arrow_map(docs.select(docs[text].cast("string")), run, "kind string, original string").distinct()
 
 
-def _with_surrogates(df: DataFrame, source: str, key: bytes) -> DataFrame:
+def _with_surrogates(df: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [surrogate(k, x, key) for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            made = [surrogate(k, x, key) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["kind", "original", "surrogate"])
 
-    return arrow_map(df.select("kind", "original", source), run, "kind string, original string, surrogate string")
+    return arrow_map(df.select("kind", "original"), run, "kind string, original string, surrogate string")
 
 
 def exceptions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tuple[str, str], str]:
-    """The collision check: entities whose surrogate had to be walked on, with the surrogates that they get."""
+    """The collision check: entities whose surrogate is somebody's real data, with the surrogates that they get instead.
+
+    Each round draws with another key for those still open. A draw is taken if it is nobody's real
+    data, nobody's first surrogate and no other's draw.
+    """
     every = written(entities(docs, text), "entities")
+    first = written(_with_surrogates(every, key), "surrogates")
     real = every.select("kind", F.col("original").alias("surrogate"))
-    now = written(_with_surrogates(every, "original", key), "surrogates")
-    out: dict[tuple[str, str], str] = {}
-    pending = written(now.join(real, ["kind", "surrogate"], "left_semi").where("surrogate != original"), "collisions")
-    while (n := pending.count()) and n <= MAX_EXCEPTIONS:
-        walked = written(_with_surrogates(pending, "surrogate", key), "walked")
-        ended = walked.join(real, ["kind", "surrogate"], "left_anti").union(walked.where("surrogate = original").select("kind", "surrogate", "original"))
-        out |= {(r.kind, r.original): r.surrogate for r in ended.select("kind", "original", "surrogate").collect()}
-        pending = written(walked.join(real, ["kind", "surrogate"], "left_semi").where("surrogate != original"), "collisions")
-    dropped(every, now)
-    return out if n == 0 else {}
+    open_ = written(first.join(real, ["kind", "surrogate"], "left_semi").select("kind", "original"), "open")
+    taken, out = real.union(first.select("kind", "surrogate")), {}
+    for attempt in range(1, ATTEMPTS + 1):
+        n = open_.count()
+        if not n or n > MAX_EXCEPTIONS:
+            break
+        drawn = written(_with_surrogates(open_, key + b"|%d" % attempt), "drawn")
+        good = drawn.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("original").alias("original"))
+        good = written(good, "good")
+        out |= {(r.kind, r.original): r.surrogate for r in good.collect()}
+        taken = taken.union(good.select("kind", "surrogate"))
+        open_ = written(open_.join(good, ["kind", "original"], "left_anti"), "open")
+    dropped(every, first)
+    return out
 
 
 def replaced(text: str, key: bytes = KEY, walked: dict[tuple[str, str], str] | None = None) -> tuple[str, list[Entity]]:
