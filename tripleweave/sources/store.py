@@ -5,7 +5,7 @@
     ids_spo/       the same triples as ids, sorted by subject (with ``encode``)
     pred_stats/    per predicate: numbers of triples, distinct subjects and distinct objects
     cs_s/, cs_o/   entity -> id of its characteristic set; cs_s_sets/, cs_o_sets/ id -> predicates
-    _meta.json     layout and counts
+    meta.json     layout and counts
 
 Up to MAX_PARTITIONED predicates, the copies are partitioned by predicate, so a constant predicate
 prunes folders; beyond, by a bucket of its hash with the predicate as a column. Sorting gives narrow
@@ -110,7 +110,7 @@ class Store:
         self.meta.n_terms = known.count()
 
     def _say(self) -> None:
-        at = _path(self.spark, f"{self.path}/_meta.json")
+        at = _path(self.spark, f"{self.path}/meta.json")
         out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
         out.write(bytearray(json.dumps(asdict(self.meta)).encode()))
         out.close()
@@ -118,7 +118,7 @@ class Store:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Store:
         path = path.rstrip("/")
-        said = "\n".join(r.value for r in spark.read.text(f"{path}/_meta.json").collect())
+        said = "\n".join(r.value for r in spark.read.text(f"{path}/meta.json").collect())
         return cls(spark, path, Meta(**json.loads(said)))
 
     def table(self, name: str) -> DataFrame:
