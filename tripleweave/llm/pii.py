@@ -166,7 +166,8 @@ def _with_surrogates(df: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(k, x, key) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["kind", "original", "surrogate"])
 
-    return arrow_map(df.select("kind", "original"), run, "kind string, original string, surrogate string")
+    dealt = df.select("kind", "original").repartition(df.sparkSession.sparkContext.defaultParallelism, "original")
+    return arrow_map(dealt, run, "kind string, original string, surrogate string")
 
 
 def exceptions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tuple[str, str], str]:
