@@ -35,10 +35,12 @@ from pyspark.sql import types as T
 
 from tripleweave.llm.anchors import GRAM, Sums, runs
 from tripleweave.llm.scratch import dropped, tidied, written
+from tripleweave.llm.sieve import BITS, bitmap
 from tripleweave.llm.textmap import arrow_map, pieces, with_text_columns
 
-MATCH, BATCHES, HOT_KINDS = 400, 4, 128
-FILTER_BITS = 26
+MATCH, BATCHES = 400, 4
+#: Runs of this many kinds are compared in one group at most, some 5 MB.
+HOT_KINDS = 4096
 
 _RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("low", "<i8"), ("width", "<i4")])
 
@@ -113,19 +115,9 @@ def _exploded(table: DataFrame) -> DataFrame:
     return arrow_map(table.select("a", "b", "runs"), run, "a long, b long, gram long, span long, low long, width int")
 
 
-def _filter(keys: DataFrame) -> bytes:
-    """A bitmap of 2 ** FILTER_BITS bits, whatever the number of keys: a text whose bit is not set isn't among them."""
-    bit = F.col("a").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    part, place = F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(F.lit(0x7FFF))
-    out = bytearray(1 << (FILTER_BITS - 3))
-    for r in keys.select(part, place.alias("place")).groupBy("part").agg(F.bitmap_construct_agg("place").alias("bits")).collect():
-        out[r.part << 12 : (r.part << 12) + len(r.bits)] = r.bits
-    return bytes(out)
-
-
 def _texts(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     """``a``, ``b``, ``text`` for the keys (columns a, b), each once, with few other texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(keys))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(keys, F.col("a").bitwiseAND(F.lit((1 << BITS) - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sent.value, set()
@@ -135,7 +127,7 @@ def _texts(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
                 for t in texts:
                     if t:
                         a, b = _halves(hashlib.sha256(t).digest())
-                        bit = a & ((1 << FILTER_BITS) - 1)
+                        bit = a & ((1 << BITS) - 1)
                         if bits[bit >> 3] >> (bit & 7) & 1 and (a, b) not in seen:
                             seen.add((a, b))
                             found.append((a, b, t))
@@ -280,10 +272,10 @@ def repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     whole = several.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("a", "b", "low", (F.col("low") + F.col("width")).alias("high"))
     whole = written(whole.distinct(), "whole")
 
-    of = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    of = written(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds-of")
     detail = kinds.join(of, "gram").select("one.a", "one.b", F.struct("gram", "n", "one.low", "one.width", (F.col("kinds") > hot_kinds).alias("hot")).alias("r"))
     detail = written(detail.groupBy("a", "b").agg(F.collect_list("r").alias("wanted")), "detail")
-    dropped(several, kinds)
+    dropped(several, kinds, of)
     joined = _texts(docs, text, detail).join(detail, ["a", "b"]).select("a", "b", "text", "wanted")
     windows = written(arrow_map(joined, _window_hashes(match), "gram long, hot boolean, a long, b long, low long, n long, windows binary"), "windows")
     tidied(spark)
