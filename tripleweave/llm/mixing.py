@@ -77,8 +77,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, mass: Column
         salt = F.pmod(F.xxhash64(docs[doc_id]), F.lit(SALTS)).cast("int")
         joined = docs.join(salted, docs[source].eqNullSafe(salted["__source"]) & (salt == salted["__salt"]))
     name = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit("|"))
-    draw = lambda i: F.size(F.filter(F.col(rate)["cdf"], lambda c: c <= uniform(F.concat(name, i.cast("string")))))
-    n = F.aggregate(F.sequence(F.lit(1), F.col(rate)["parts"]), F.lit(0), lambda s, i: s + draw(i))
+    draws = F.transform(F.sequence(F.lit(1), F.col(rate)["parts"]), lambda i: uniform(F.concat(name, i.cast("string"))))
+    n = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter(F.col(rate)["cdf"], lambda c: c <= u)))
     copies = joined.withColumn(copy, n).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     keyed = copies.withColumn(key, F.md5(F.concat(name, F.lit("copy|"), F.col(copy).cast("string"))))
     return keyed.select(*names, copy, key).orderBy(key, copy)
