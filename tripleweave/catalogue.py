@@ -162,6 +162,9 @@ _ACCESS: dict[str, tuple[Callable[[AccessPaths], DataFrame], str]] = {
     "a02_objects_of": (lambda a: a.objects_of(relational.predicate("o_cust")), f"SELECT DISTINCT {_i('customer', 'o_custkey')} AS o FROM orders"),
     "a03_predicates_of_subject": (lambda a: a.predicates_of_subject(iri("customer", 1)), f"SELECT p FROM ({_customer('c_custkey = 1')})"),
     "a04_predicates_of_object": (lambda a: a.predicates_of_object(iri("nation", 3)), f"SELECT {_pred('c_nation')} AS p FROM customer WHERE c_nationkey = 3 GROUP BY 1 UNION SELECT {_pred('s_nation')} FROM supplier WHERE s_nationkey = 3"),
+    "a05_objects": (lambda a: a.objects(iri("customer", 1), relational.predicate("c_nation")), f"SELECT {_i('nation', 'c_nationkey')} AS o FROM customer WHERE c_custkey = 1"),
+    "a06_subjects": (lambda a: a.subjects(iri("nation", 3), relational.predicate("c_nation")), f"SELECT {_i('customer', 'c_custkey')} AS s FROM customer WHERE c_nationkey = 3"),
+    "a07_predicates": (lambda a: a.predicates(iri("supplier", 1), iri("class", "Supplier")), f"SELECT {_TYPE} AS p FROM supplier WHERE s_suppkey = 1"),
     "a08_neighbours": (lambda a: a.neighbours(iri("customer", 1)), f"SELECT o FROM ({_customer('c_custkey = 1')})"),
     "a09_referrers": (lambda a: a.referrers(iri("nation", 3)), f"SELECT {_i('customer', 'c_custkey')} AS s FROM customer WHERE c_nationkey = 3 UNION ALL SELECT {_i('supplier', 's_suppkey')} FROM supplier WHERE s_nationkey = 3"),
 }

@@ -73,40 +73,45 @@ class Store:
     def build(cls, spark: SparkSession, triples: DataFrame, path: str, encode: bool = False, sets: bool = True) -> Store:
         """Writes all tables; ``triples`` has s, p, o and may repeat. An existing store at the path is replaced."""
         path = path.rstrip("/")
-        graph = triples.select("s", "p", "o").dropDuplicates()
+        staging = f"{path}/staging"
+        triples.select("s", "p", "o").dropDuplicates().write.mode("overwrite").parquet(f"{staging}/graph")
+        graph = spark.read.parquet(f"{staging}/graph")
         n_predicates = graph.select("p").distinct().count()
         layout = "predicate" if n_predicates <= MAX_PARTITIONED else "bucket"
-        keys = ["p"] if layout == "predicate" else ["bucket"]
-        if layout == "bucket":
-            graph = graph.withColumn("bucket", _bucket("p"))
-        # One shuffle by predicate and subject: each file holds a range of subjects of few predicates.
-        graph.repartitionByRange("p", "s", "o").sortWithinPartitions("p", "s", "o").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/spo")
+        placed = graph.withColumn("bucket", _bucket("p")) if layout == "bucket" else graph
+        # Ranges of (predicate, entity): a hot predicate is spread over many files, and each file has few predicates.
+        for name, order in (("spo", ("p", "s", "o")), ("ops", ("p", "o", "s"))):
+            placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("p" if layout == "predicate" else "bucket").parquet(f"{path}/{name}")
         store = cls(spark, path, Meta(layout, encode, 0, n_predicates))
-        spo = store.table("spo")
-        again = spo.withColumn("bucket", _bucket("p")) if layout == "bucket" else spo
-        again.repartitionByRange("p", "o", "s").sortWithinPartitions("p", "o", "s").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/ops")
-        stats = spo.groupBy("p").agg(F.count(F.lit(1)).alias("n_triples"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("o").alias("n_objects"))
-        stats.coalesce(1).sortWithinPartitions("p").write.mode("overwrite").parquet(f"{path}/pred_stats")
+        stats = graph.groupBy("p").agg(F.count(F.lit(1)).alias("n_triples"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("o").alias("n_objects"))
+        stats.write.mode("overwrite").parquet(f"{path}/pred_stats")
         store.meta.n_triples = store.table("pred_stats").agg(F.sum("n_triples")).first()[0] or 0
         if sets:
             for name, entity in (("cs_s", "s"), ("cs_o", "o")):
-                of = characteristic_sets(spo, entity)
-                of.select(F.concat_ws("\n", "predicates").alias("key")).distinct().transform(lambda d: dense_ids(d, "key")).select(F.col("id").alias("cs"), F.split("term", "\n").alias("predicates")).write.mode("overwrite").parquet(f"{path}/{name}_sets")
-                known = spark.read.parquet(f"{path}/{name}_sets")
-                of.join(known, "predicates").select("entity", "cs").write.mode("overwrite").parquet(f"{path}/{name}")
+                characteristic_sets(graph, entity).write.mode("overwrite").parquet(f"{staging}/{name}")
+                of = spark.read.parquet(f"{staging}/{name}")
+                keys = dense_ids(of.select(F.concat_ws("\n", "predicates").alias("key")).distinct(), "key")
+                keys.select(F.col("id").alias("cs"), F.split("term", "\n").alias("predicates")).write.mode("overwrite").parquet(f"{path}/{name}_sets")
+                of.join(spark.read.parquet(f"{path}/{name}_sets"), "predicates").select("entity", "cs").write.mode("overwrite").parquet(f"{path}/{name}")
         if encode:
-            store._encode(spo)
+            store._encode(graph)
         store._say()
+        at = _path(spark, staging)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         return store
 
-    def _encode(self, spo: DataFrame) -> None:
-        terms = spo.select(F.explode(F.array("s", "p", "o")).alias("t")).distinct()
+    def _encode(self, graph: DataFrame) -> None:
+        terms = graph.select(F.explode(F.array("s", "p", "o")).alias("t")).distinct()
         dense_ids(terms, "t").write.mode("overwrite").parquet(f"{self.path}/dict")
         known = self.spark.read.parquet(f"{self.path}/dict")
-        ids = spo
-        for c in "pso":
-            ids = ids.join(known.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id")), c).drop(c)
-        ids.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o")).repartitionByRange("p", "s", "o").sortWithinPartitions("p", "s", "o").write.mode("overwrite").parquet(f"{self.path}/ids_spo")
+        predicates = known.join(graph.select(F.col("p").alias("term")).distinct(), "term", "left_semi")
+        if self.meta.n_predicates <= MAX_PARTITIONED:
+            predicates = F.broadcast(predicates)
+        ids = graph
+        for c, names in (("p", predicates), ("s", known), ("o", known)):
+            ids = ids.join(names.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id")), c).drop(c)
+        ids = ids.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o"))
+        ids.repartitionByRange("p", "s", "o").sortWithinPartitions("p", "s", "o").write.mode("overwrite").parquet(f"{self.path}/ids_spo")
         self.meta.n_terms = known.count()
 
     def _say(self) -> None:
