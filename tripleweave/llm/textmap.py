@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tripleweave.llm.shipping import ship
 
 #: Bytes of text that a kernel sees at once; a longer text comes alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def unused(taken: Sequence[str], name: str) -> str:
@@ -27,15 +27,15 @@ def unused(taken: Sequence[str], name: str) -> str:
     return name
 
 
-def pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of a batch whose texts together have at most PIECE_BYTES (or that have one row)."""
+def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of a batch whose texts together have at most ``size`` bytes (or that have one row)."""
     if batch.num_rows == 0:
         return
     texts = batch.column(column).cast(pa.large_binary()).to_pylist()
     first, held = 0, 0
     for i, t in enumerate(texts):
         n = len(t or b"")
-        if i > first and held + n > PIECE_BYTES:
+        if i > first and held + n > size:
             yield batch.slice(first, i - first), texts[first:i]
             first, held = i, 0
         held += n

@@ -23,7 +23,6 @@ import struct
 import zlib
 from collections import ChainMap
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +33,18 @@ from pyspark.sql import functions as F
 from tripleweave.llm.elias_fano import EliasFano, encode
 from tripleweave.llm.scratch import new_path
 from tripleweave.llm.textmap import arrow_map, pieces
+from tripleweave.llm.wordhash import Words, byte_values, mixed
 
 MAGIC, VERSION = b"TKS1", 1
 _HEAD = struct.Struct("<4sBBxxIQQ")
 #: Token ids in a shard: it ends with the document that reaches this many.
 SHARD_IDS = 2 << 20
-#: Words whose ids a worker remembers.
-MEMORY = 600_000
+#: Words, and parts of words, whose ids a worker remembers.
+MEMORY, PARTS = 1_000_000, 200_000
+#: Bytes of text encoded at once: what is new in them is sorted into what is known.
+PIECE_BYTES = 4 << 20
+_LEADING, _TOGETHER = 18, 64
+_VALUES = byte_values(bytes(b for b in range(256) if b not in b" \t\n\v\f\r"), fold_case=False)
 END_ID = 2
 
 
@@ -67,7 +71,7 @@ def _parts(word: bytes) -> tuple[str, str]:
 
 
 class Encoder:
-    """Encodes texts, word by word. Once MEMORY words and as many parts are known, others are encoded anew in each batch."""
+    """Encodes texts, word by word. Words are looked up by hash, length and first bytes in arrays, so a word that is known costs no Python work. Once MEMORY words and PARTS parts are known, others are encoded anew in each batch."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,47 +79,102 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         self.wide = max(self.tokenizer.get_vocab_size(True) - 1, end_id) > 0xFFFF
-        self.known: dict[bytes, int] = {}
+        #: Ids of tokens that end a letter run, if the vocabulary tells.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(True), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab(True).items() if t.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {"": b""}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: Known words by hash: the hashes in order, what else must agree, and the word's number; where each value of the leading bits begins.
+        self.hashes, self.checks, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.index = np.zeros((1 << _LEADING) + 1, np.int32)
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         split = [_parts(w) for w in words]
         new = [p for p in dict.fromkeys(p for x in split for p in x) if p not in self.parts]
-        got = [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+        got = self._ids_of(new)
         of = self.parts
-        if len(of) + len(new) <= MEMORY:
+        if len(of) + len(new) <= PARTS:
             of.update(zip(new, got))
         else:
             of = ChainMap(dict(zip(new, got)), of)
         return [of[a] + of[b] if b else of[a] for a, b in split]
 
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Parts that are one letter run each are encoded many at a time: each ends with an id that only ends a run."""
+        runs = [i for i, p in enumerate(parts) if p.isalpha() and max(p) <= "\xff"]
+        out: list[bytes | None] = [None] * len(parts)
+        if runs:
+            texts = [" ".join(parts[i] for i in runs[a : a + _TOGETHER]) for a in range(0, len(runs), _TOGETHER)]
+            ids = np.fromiter((i for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in x.ids), "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(runs) and ends[-1] == len(ids):
+                data, bounds = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
+                for i, a, b in zip(runs, bounds, bounds[1:]):
+                    out[i] = data[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, x in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+                out[i] = np.array(x.ids, "<u4").tobytes()
+        return out
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The numbers of known words, -1 for others."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        lead = (h >> np.uint64(64 - _LEADING)).astype(np.int64)
+        at, end = self.index[lead], self.index[lead + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end = at[open_], end[open_]
+        while len(open_):
+            hit = (self.hashes[at] == h[open_]) & (self.checks[at] == check[open_])
+            out[open_[hit]] = self.slots[at[hit]]
+            at += 1
+            more = ~hit & (at < end)
+            open_, at, end = open_[more], at[more], end[more]
+        return out
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text's, and the number of each text's ids."""
-        words = [(t or b"").split() for t in texts]
-        every = [w for x in words for w in x]
-        which = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(which < 0).tolist()
+        words = Words(texts, _VALUES)
+        h, check = words.hashes, _checks(words)
+        which = self._find(h, check)
+        missing = np.flatnonzero(which < 0)
         flat, starts, lengths = self.flat, self.starts, self.lengths
-        if missing:
-            new = dict.fromkeys(every[i] for i in missing)
-            ids = self._encoded(list(new))
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            first = len(starts)
-            new = dict(zip(new, range(first, first + len(new))))
-            which[missing] = [new[every[i]] for i in missing]
-            starts, lengths = np.concatenate([starts, len(flat) + np.cumsum(n) - n]), np.concatenate([lengths, n])
+        if len(missing):
+            _, first, of = np.unique(h[missing] ^ mixed(check[missing]), return_index=True, return_inverse=True)
+            first = missing[first]
+            ids = self._encoded([words.word(i) for i in first.tolist()])
+            n = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+            which[missing] = len(starts) + of
+            starts, lengths = np.concatenate([starts, len(flat) + np.cumsum(n, dtype=np.int64) - n]), np.concatenate([lengths, n])
             flat = np.concatenate([flat, np.frombuffer(b"".join(ids), "<u4")])
-            if len(self.known) + len(new) <= MEMORY:
-                self.known.update(new)
+            if len(starts) <= MEMORY:
+                slots = np.arange(len(self.starts), len(starts), dtype=np.int32)
                 self.flat, self.starts, self.lengths = flat, starts, lengths
-        n = lengths[which]
+                order = np.argsort(h[first])
+                at = np.searchsorted(self.hashes, h[first][order])
+                self.hashes, self.checks, self.slots = (np.insert(x, at, y[order]) for x, y in ((self.hashes, h[first]), (self.checks, check[first]), (self.slots, slots)))
+                self.index = np.searchsorted(self.hashes >> np.uint64(64 - _LEADING), np.arange((1 << _LEADING) + 1, dtype=np.uint64)).astype(np.int32)
+        n = lengths[which].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(starts[which] - total[:-1], n) + np.arange(total[-1])]
-        ends = total[np.cumsum([len(x) for x in words], dtype=np.int64)] if texts else total[:0]
+        ends = total[words.first[1:]]
         return np.insert(ids, ends, self.end), np.diff(np.concatenate([[0], ends])) + 1
 
 
+def _checks(words: Words) -> np.ndarray:
+    """Length and first eight bytes of each word, mixed."""
+    data = np.frombuffer(words.buffer + bytes(8), np.uint8)
+    length = words.ends - words.starts
+    out = length.astype(np.uint64)
+    for i in range(8):
+        byte = data[words.starts + i].astype(np.uint64)
+        byte[length <= i] = 0
+        out = out * np.uint64(0xD6E8FEB86659FD93) + byte
+    return out
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
@@ -172,7 +231,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["part", "seq", "before", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for rows, texts in pieces(batch, 1):
+            for rows, texts in pieces(batch, 1, PIECE_BYTES):
                 got, n = make.encode(texts)
                 of, i, a = rows.column(0).to_pylist(), 0, 0
                 held = sum(map(len, ids))
