@@ -13,6 +13,8 @@ from tripleweave import Engine, ParseError, QueryError, Store, cli, ntriples
 from tripleweave.operators.access import AccessPaths
 from tripleweave.operators.joins import intersection
 from tripleweave.plans.algebra import Const, Pattern, Var
+from tripleweave.plans.parser import parse
+from tripleweave.plans.planner import plan
 from tripleweave.server import server
 from tripleweave.sinks import json_chunks
 from tripleweave.sources import store as store_module
@@ -65,6 +67,8 @@ def test_modifiers(store):
     assert answers(e, "SELECT ?y ?x WHERE { ?x <likes> ?y }") == [("<c>", "<b>")]
     assert answers(e, "SELECT ?X ?x WHERE { ?x <likes> ?X }") == [("<c>", "<b>")]
     assert answers(e, "SELECT DISTINCT ?x WHERE { <a> <knows> <b> . ?x <likes> ?y . ?u <name> ?v }") == [("<b>",)]
+    assert answers(e, "SELECT ?x WHERE { ?x <likes> ?y . ?u <name> ?v . ?w <type> <P> }") == [("<b>",)] * 6
+    assert answers(e, "SELECT ?v WHERE { <b> <likes> ?y . ?u <name> ?v }") == [('"A"',), ('"A"',), ('"B"',)]
     with pytest.raises(QueryError):
         e.sparql("SELECT ?nope WHERE { ?x <knows> ?y }")
 
@@ -117,6 +121,25 @@ def test_plans_prune_and_push_down(store):
     assert "Cartesian" not in e.sparql("SELECT * WHERE { ?x <knows> ?y . ?z <likes> ?w . ?y <type> ?t . ?t <p> ?w }")._jdf.queryExecution().toString()
 
 
+def test_order_avoids_large_intermediate_results():
+    """A cycle over a small dimension: joining the small tables first would pair every s with every c."""
+
+    class Fake:
+        meta = store_module.Meta("predicate", False, 1_000_000, 5)
+
+        def stats(self, predicates):
+            sizes = {"<l_order>": (60_000, 60_000, 15_000), "<o_cust>": (15_000, 15_000, 1_500), "<c_nation>": (1_500, 1_500, 25), "<l_supp>": (60_000, 60_000, 100), "<s_nation>": (100, 100, 25)}
+            return {p: sizes[p] for p in predicates if p in sizes}
+
+    cycle = parse("SELECT * WHERE { ?s <s_nation> ?n . ?c <c_nation> ?n . ?o <o_cust> ?c . ?l <l_order> ?o . ?l <l_supp> ?s }").where.patterns
+    steps = plan(Fake(), cycle).steps
+    assert max(s.result for s in steps) <= 60_000 and steps[-1].shared in (("s", "n"), ("c", "n"), ("o", "c"), ("l", "o"), ("l", "s"))
+    long = parse("SELECT * WHERE { " + " . ".join(f"?x{i} <o_cust> ?x{i + 1}" for i in range(12)) + " . ?y <c_nation> ?z }").where.patterns
+    steps = plan(Fake(), long).steps
+    assert len(steps) == 13 and sum(not s.shared for s in steps) == 2
+    assert plan(Fake(), parse("SELECT ?x WHERE { ?x <none> ?y }").where.patterns).empty
+
+
 def test_many_predicates_use_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store_module, "MAX_PARTITIONED", 2)
     built = Store.build(spark, graph_frame(spark, TOY), str(tmp_path))

@@ -15,6 +15,7 @@ statistics to row groups, so constants at the other positions skip most of them.
 from __future__ import annotations
 
 import json
+import zlib
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,8 @@ def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def _bucket(p) -> Column:
-    return F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int")
+def _bucket(p: str) -> Column:
+    return F.pmod(F.crc32(F.col(p).cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
 def dense_ids(terms: DataFrame, column: str, first: int = 1) -> DataFrame:
@@ -142,8 +143,7 @@ class Store:
         """The triples with these constants, from the copy that is sorted for them; columns s, p, o."""
         t = self.table("ops" if o is not None and s is None else "spo")
         if p is not None and self.meta.layout == "bucket":
-            bucket = self.spark.range(1).select(_bucket(F.lit(p))).first()[0]
-            t = t.where(F.col("bucket") == bucket)
+            t = t.where(F.col("bucket") == zlib.crc32(p.encode()) % BUCKETS)
         for name, value in (("p", p), ("s", s), ("o", o)):
             if value is not None:
                 t = t.where(F.col(name) == F.lit(value))
