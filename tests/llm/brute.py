@@ -43,10 +43,9 @@ def fingerprint(text, shingle=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def classes(rows, radius=4, shingle=4):
-    """rows: (doc_id, text). Returns {doc_id: (fingerprint, component)}."""
-    fps = {d: fingerprint(t, shingle) for d, t in rows}
-    ids, root = list(fps), {d: d for d in fps}
+def joined(ids, linked):
+    """{id: smallest id of its component}"""
+    root = {d: d for d in ids}
 
     def find(x):
         while root[x] != x:
@@ -55,10 +54,26 @@ def classes(rows, radius=4, shingle=4):
 
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= radius:
+            if linked(a, b):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return {d: (f"{fps[d]:016x}", find(d)) for d in ids}
+    return {d: find(d) for d in ids}
+
+
+def classes(rows, radius=4, shingle=4):
+    """rows: (doc_id, text). Returns {doc_id: (fingerprint, component)}."""
+    fps = {d: fingerprint(t, shingle) for d, t in rows}
+    of = joined(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= radius)
+    return {d: (f"{fps[d]:016x}", of[d]) for d in fps}
+
+
+def similar(rows, similarity=0.8, shingle=5):
+    """{doc_id: smallest id of those that chains of Jaccard similarities of word shingles connect}"""
+    sets = {}
+    for d, t in rows:
+        w = split((t or "").translate(ASCII_LOWER))
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    return joined(list(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
 
 
 def leaks(docs, items):

@@ -12,7 +12,7 @@ def test_stages_on_whole_tables(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     texts, now = dict(docs), frame
     good = {d for d, t in docs if brute.quality(t)["kept"]}
-    single = {c for _, c in brute.classes([(d, texts[d]) for d in good], shingle=5).values()}
+    single = set(brute.similar([(d, texts[d]) for d in sorted(good)]).values())
     leaks = brute.leaks([(d, texts[d]) for d in single], items)
     clean = {d for d in single if leaks[d][2] == 0}
     assert good > single > clean > set()

@@ -45,12 +45,13 @@ def test_dense_and_chained_fingerprints_lose_no_link(spark):
         fps.add(at)
     fps |= {r.getrandbits(64) for _ in range(500)}
     signed = [int(np.uint64(f).view(np.int64)) for f in sorted(fps)]
-    df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    for tile in (64, 100_000):
+    fp = F.col("fp")
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "node long, fp long").select("node", F.unhex(simhash.hexadecimal(fp)).alias("bits"), F.bit_count(fp).cast("long").alias("c"), simhash._bands(fp, 4).alias("bands"))
+    for tile in (32, 300, 100_000):
         out = components(simhash.links(df, tile=tile)).collect()
         groups = {}
         for x in out:
-            groups.setdefault(x.root, set()).add(x.node)
+            groups.setdefault(x.root, set()).add(signed[x.node])
         assert {frozenset(g) for g in groups.values()} == _classes(signed)
 
 
@@ -74,5 +75,36 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
 
 
 def test_one_of_each_keeps_the_least_id_of_each_group(spark):
-    want = sorted({c for _, c in brute.classes(tables.rows(), shingle=5).values()})
-    assert sorted(x.doc_id for x in simhash.one_of_each(tables.frame(spark), shingle=5).collect()) == want
+    r = random.Random(8)
+    given = tables.rows()
+    for i in range(30):  # two words of some hundred changed, in chains
+        w = tables.words(r, r.randint(150, 400), 5000).split()
+        for j in range(3):
+            given.append((1000 + 3 * i + j, " ".join(w)))
+            for _ in range(2):
+                w[r.randrange(len(w))] = f"new{r.random()}"
+    want = sorted(set(brute.similar(given).values()))
+    assert sorted(x.doc_id for x in simhash.one_of_each(tables.frame(spark, given)).collect()) == want
+
+
+def test_wide_signatures_match_the_definition():
+    from tripleweave.llm.wordhash import Words, mixed
+
+    def plain(text):
+        words = Words([text], simhash._VALUES)
+        n, out = len(words.hashes), 0
+        h = words.runs(min(n, 5))[0][: max(1, n - 4)] if n else []
+        for w, salt in enumerate(simhash._SALTS):
+            each = [int(mixed(np.array([x]) + salt)[0]) for x in h]
+            out |= sum(1 << 64 * w + b for b in range(64) if 2 * sum(x >> b & 1 for x in each) > len(each))
+        return out
+
+    texts = [b"", b"One", b"a b c d", b"A b c d e f g", None, b"x y z " * 200, b"a b c d e f g"]
+    bits, counts, bands = simhash.wide_signatures(texts, 5)
+    for t, x, c in zip(texts, bits, counts.tolist()):
+        assert int.from_bytes(x, "little") == plain(t or b"") and c == plain(t or b"").bit_count()
+    assert bits[3] == bits[6] and bands[3] == bands[6] and bands[0] == bands[4] and len(bands[0]) == simhash.BANDS
+
+
+def test_radius_grows_with_the_distance():
+    assert 155 < simhash.radius_for(0.8) < 180 and simhash.radius_for(0.9) < simhash.radius_for(0.8) and simhash.radius_for(1.0) == 0

@@ -1,20 +1,28 @@
 """Near-duplicates by SimHash fingerprints and tiled exact comparison.
 
 Fingerprints are compared exactly: numpy exclusive-or and bit counts over tiles of at most TILE
-fingerprints. Two facts cut the work and lose no link. A tile pair whose population counts differ
-beyond the radius holds no link. And of ``radius + 1`` bands of a fingerprint one at least is equal in
-two linked fingerprints, so tiles are formed within each band value. A band value with more than TILE
-fingerprints (a hot group of near copies) is dealt out as pairs of tiles to many tasks, each tile with
-one population count. Equal fingerprints are compared once, whatever their number; a task returns
-at most one link for each fingerprint it read, so dense groups don't return all their pairs.
-
-Defined cases: a null or empty text has fingerprint 0, linked like any other. Rows with a null
-document id take part but name no component; a component of such rows only has a null id. Repeated
-rows fall into one component. Extra columns are ignored.
+fingerprints, and a tile pair whose population counts differ beyond the radius is skipped, since it
+holds no link. Tiles are formed within the values of bands, so that not all pairs of documents meet:
+
+* 64-bit fingerprints and a small radius: of ``radius + 1`` bands of the bits one at least is equal in
+  two linked fingerprints. No link is lost.
+* Wide signatures (WIDE bits) for a similarity such as 0.8, which 64 bits can't tell: their radius is
+  a sixth of the bits, so the bands are of MinHash values instead: two texts of that similarity share
+  none of the BANDS bands of ROWS values with probability (1 - 0.8 ** ROWS) ** BANDS, 2 in 10,000.
+
+A band value with more than TILE members (a hot group of near copies) is dealt out as tiles to many
+tasks, and then as those pairs of tiles, of near population counts, that can join two components.
+Equal fingerprints are compared once, whatever their number; a task returns at most one link for each
+fingerprint it read, so dense groups don't return all their pairs.
+
+Defined cases: a text without words (null, empty) has fingerprint 0, linked like any other. Rows with
+a null document id take part but name no component; a component of such rows only has a null id.
+Repeated rows fall into one component. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +34,9 @@ from pyspark.sql import types as T
 
 from tripleweave.llm.components import components
 from tripleweave.llm.scratch import written
+from tripleweave.llm.sieve import without_keys
 from tripleweave.llm.textmap import arrow_map, unused, with_text_columns
+from tripleweave.llm.wordhash import Words, byte_values, mixed
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 #: Fingerprints in a tile at most, where a band value has more.
@@ -35,6 +45,12 @@ TILE = 1024
 BLOCK = 256
 _CHUNK = 1 << 15
 
+#: Bits of wide signatures, and the MinHash bands that bring them together.
+WIDE, BANDS, ROWS = 1024, 16, 4
+SIMILARITY = 0.8
+_LANES = np.uint64(0x0101010101010101)
+_VALUES = byte_values(bytes(b for b in range(256) if b not in b" \t\n\v\f\r"), fold_case=True)
+
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """A bit is set if it is set in over half of the hashes of the text's shingles, repeats included."""
@@ -71,8 +87,65 @@ def _bands(fp: Column, radius: int) -> Column:
     return F.array(*[F.shiftleft(F.lit(i).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
+def radius_for(similarity: float, bits: int = WIDE) -> int:
+    """The distance of signatures of sets with this Jaccard similarity, and two standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def _sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of rows (``first``: where it begins, and the end), how often each of the 64 bits is set. Bits are counted in the bytes of 64-bit words, 255 rows at a time."""
+    n = np.diff(first)
+    parts = -(-n // 255)
+    own = np.repeat(first[:-1], parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    at, out = np.concatenate([[0], np.cumsum(parts)[:-1]]), np.empty((len(n), BITS), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & _LANES, own).view(np.uint8).reshape(-1, 8)
+        out[:, k::8] = np.add.reduceat(lanes, at, axis=0, dtype=np.int64)
+    return out
+
+
+def wide_signatures(texts: list[bytes | None], shingle: int) -> tuple[list[bytes], np.ndarray, list[list[int]]]:
+    """Signature, population count and band values of each text, over the hashes of its word shingles in lower case, repeats included; fewer words than a shingle are one."""
+    words = Words(texts, _VALUES)
+    n_words = np.diff(words.first)
+    h, whole = words.runs(shingle)
+    for m in range(1, shingle):
+        short = words.first[:-1][n_words == m]
+        if len(short):
+            h[short], whole[short] = words.runs(m)[0][short], True
+    h = h[whole]
+    n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    there = np.flatnonzero(n)
+    bits, low = np.zeros((len(texts), WIDE // BITS), np.uint64), np.zeros((len(texts), BANDS * ROWS), np.uint64)
+    if len(there):
+        first = np.concatenate([[0], np.cumsum(n[there])])
+        for w in range(WIDE // BITS):
+            ones = 2 * _sums(mixed(h + _SALTS[w]), first) > n[there][:, None]
+            bits[there, w] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+        for i in range(BANDS * ROWS):
+            low[there, i] = np.minimum.reduceat(h * _ODD[i], first[:-1])
+    bands = np.zeros((len(texts), BANDS), np.uint64)
+    for i in range(ROWS):
+        bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + low[:, i::ROWS])
+    bands = mixed(bands + np.arange(BANDS, dtype=np.uint64)[None, :])
+    return [x.tobytes() for x in bits], np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bands.view(np.int64).tolist()
+
+
+_ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 63, WIDE // BITS, np.uint64)
+
+
 def _hits(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+    """Pairs of rows within the radius; a pair is left as soon as its first words differ in more bits."""
+    x, y = np.nonzero(np.bitwise_count(a[:, :1] ^ b[None, :, 0]) <= radius)
+    far = np.zeros(len(x), np.int64)
+    for w in range(a.shape[1] if a.shape[1] > 1 else 0):
+        far += np.bitwise_count(a[x, w] ^ b[y, w])
+        near = far <= radius
+        if not near.all():
+            x, y, far = x[near], y[near], far[near]
+    return x, y
 
 
 def _joined(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -92,9 +165,9 @@ def _joined(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return root
 
 
-def _group_links(fp: np.ndarray, count: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what lies within the radius, one for each fingerprint at most. fp: in order of the population count."""
-    n, pairs = len(fp), []
+def _group_links(fp: np.ndarray, radius: int) -> np.ndarray:
+    """For each row, a row that it is linked with through others or itself. fp: a row of words each, in order of the population count."""
+    n, pairs, count = len(fp), [], np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
     for i in range(0, n, BLOCK):
         for j in range(i, n, BLOCK):
             if int(count[j]) - int(count[min(i + BLOCK, n) - 1]) > radius:
@@ -104,44 +177,37 @@ def _group_links(fp: np.ndarray, count: np.ndarray, radius: int) -> tuple[np.nda
                 a, b = a[a < b], b[a < b]
             if len(a):
                 pairs.append((a + i, b + j))
-    root = _joined(n, pairs)
-    at = np.flatnonzero(root != np.arange(n))
-    return fp[at], fp[root[at]]
+    return _joined(n, pairs)
 
 
 def _compare(radius: int):
-    """Reads rows sorted by group and population count; holds one group at a time besides the batch."""
+    """Reads rows (group, node, bits) sorted by group and population count; holds one group at a time besides the batch."""
+
+    def linked(g: np.ndarray, node: np.ndarray, bits: list[bytes]) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        several = np.diff(edges) > 1
+        for a, b in zip(edges[:-1][several].tolist(), edges[1:][several].tolist()):
+            root = _group_links(np.frombuffer(b"".join(bits[a:b]), np.uint64).reshape(b - a, -1), radius)
+            at = np.flatnonzero(root != np.arange(b - a))
+            u.append(node[a:b][at])
+            v.append(node[a:b][root[at]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((2, 0), np.int64)
-
-        def groups(g: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-            found = []
-            for a, b in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
-                part = fp[a:b].view(np.uint64)
-                u, v = _group_links(part, np.bitwise_count(part), radius)
-                if len(u):
-                    found.append((u, v))
-            if not found:
-                return None
-            u, v = (np.concatenate(x).view(np.int64) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
+        g, node, bits = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in batches:
-            g, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            rows = np.concatenate([rest, np.stack([g, fp])], axis=1)
-            if not rows.shape[1]:
+            g = np.concatenate([g, batch.column(0).to_numpy()])
+            node = np.concatenate([node, batch.column(1).to_numpy()])
+            bits += batch.column(2).to_pylist()
+            if not len(g):
                 continue
-            cut = _last_run(rows[0])
-            out = groups(rows[0][:cut], rows[1][:cut]) if cut else None
-            rest = rows[:, cut:]
-            if out is not None:
-                yield out
-        if rest.shape[1]:
-            out = groups(rest[0], rest[1])
-            if out is not None:
-                yield out
+            cut = _last_run(g)
+            if cut:
+                yield linked(g[:cut], node[:cut], bits[:cut])
+                g, node, bits = g[cut:], node[cut:], bits[cut:]
+        if len(g):
+            yield linked(g, node, bits)
 
     return run
 
@@ -152,66 +218,100 @@ def _last_run(g: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
+def _compared(rows: DataFrame, distinct: DataFrame, radius: int) -> DataFrame:
+    """Links within the groups of rows (g, node, c)."""
+    whole = rows.join(distinct.select("node", "bits"), "node")
+    grouped = whole.repartition("g").sortWithinPartitions("g", "c").select("g", "node", "bits")
+    return written(arrow_map(grouped, _compare(radius), "u long, v long"), "links")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``u``, ``v``: links that connect exactly the fingerprints that chains of distances within the radius connect.
+    """``u``, ``v``: links between nodes that connect exactly what chains of distances within the radius, between nodes with a band in common, connect.
 
-    distinct: one row for each fingerprint, column ``fp``.
+    distinct: one row for each fingerprint: ``node`` (long, 0 or more), ``bits`` (binary), ``c`` (its population count), ``bands`` (longs).
+
+    First each band value with up to ``tile`` members is compared whole, others tile by tile without
+    pairs of tiles. What that connects needs no comparison among itself, so of the pairs of tiles only those
+    are made that can join two components: a dense group of any size costs its size, not its square.
     """
-    rows = distinct.select("fp", F.bit_count("fp").cast("int").alias("c"), F.explode(_bands(F.col("fp"), radius)).alias("band"))
-    sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.groupBy("band").agg(F.sum("n").alias("all")).where(F.col("all") > tile).select("band")
-    tiles = sizes.join(large, "band", "left_semi").select("band", "c", F.ceil(F.col("n") / tile).cast("int").alias("k"))
-    other = tiles.select("band", F.col("c").alias("c2"), F.col("k").alias("k2"))
+    every = distinct.select("node", "c", F.explode(F.array_distinct("bands")).alias("band"))
+    met = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = written(met.select("band", F.ceil(F.col("n") / tile).cast("int").alias("k")), "bands")
+    group = F.when(F.col("k") > 1, F.xxhash64("band", F.pmod(F.xxhash64("node"), F.col("k")))).otherwise(F.xxhash64("band"))
+    first = _compared(every.join(met, "band").select(group.alias("g"), "node", "c"), distinct, radius)
+    large = met.where("k > 1").select("band")
+    if large.isEmpty():
+        return first
+    roots = written(components(first), "roots")
+    members = every.join(large, "band").join(roots, "node", "left").select("band", "node", "c", F.coalesce("root", "node").alias("root"))
+    members = written(members, "members")
+    giants = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("band", "root", F.lit(True).alias("giant"))
+    width = max(1, radius // 4)
+    of = F.when(F.col("giant"), F.col("root")).otherwise(F.lit(-1))  # a giant's tiles hold it alone
+    placed = written(members.join(giants, ["band", "root"], "left").select("band", "node", "c", of.alias("of"), F.floor(F.col("c") / width).alias("bin")), "placed")
+    tiles = placed.groupBy("band", "of", "bin").agg(F.count(F.lit(1)).alias("n")).select("band", "of", "bin", F.ceil(F.col("n") / tile).cast("int").alias("k"))
+    other = tiles.select("band", F.col("of").alias("of2"), F.col("bin").alias("bin2"), F.col("k").alias("k2"))
+    joins_two = (F.col("of") != F.col("of2")) | (F.col("of") == -1)
     partners = (
         tiles.join(other, "band")
-        .where(F.abs(F.col("c") - F.col("c2")) <= radius)
-        .groupBy("band", "c")
-        .agg(F.first("k").alias("k"), F.collect_list(F.struct("c2", "k2")).alias("with"))
+        .where((F.abs(F.col("bin") - F.col("bin2")) <= -(-radius // width)) & joins_two)
+        .groupBy("band", "of", "bin")
+        .agg(F.first("k").alias("k"), F.collect_list(F.struct("of2", "bin2", "k2")).alias("with"))
     )
-    dealt = rows.join(partners, ["band", "c"], "left").withColumn("t", F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int"))
-    every = F.flatten(F.transform("with", lambda x: F.transform(F.sequence(F.lit(0), x["k2"] - 1), lambda i: F.struct(x["c2"].alias("c"), i.alias("t")))))
-    own = F.struct(F.col("c").alias("c"), F.col("t").alias("t"))
-    none = F.array(own)
-    placed = dealt.select("fp", "c", "band", F.col("with").isNotNull().alias("big"), own.alias("own"), F.explode(F.coalesce(every, none)).alias("p"))
+    dealt = placed.join(partners, ["band", "of", "bin"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    named = lambda x, i: F.struct(x["of2"].alias("of"), x["bin2"].alias("bin"), i.alias("t"))
+    pairs = F.flatten(F.transform("with", lambda x: F.transform(F.sequence(F.lit(0), x["k2"] - 1), lambda i: named(x, i))))
+    dealt = dealt.select("node", "c", "band", F.struct("of", "bin", "t").alias("own"), F.explode(pairs).alias("p"))
     a, b = F.least("own", "p"), F.greatest("own", "p")
-    group = F.when(F.col("big"), F.xxhash64("band", a["c"], a["t"], b["c"], b["t"])).otherwise(F.xxhash64("band"))
-    grouped = placed.select(group.alias("g"), "fp", "c").repartition("g").sortWithinPartitions("g", "c").select("g", "fp")
-    return arrow_map(grouped, _compare(radius), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` (the smallest id in the row's component), one row for each row."""
-    marked = written(fingerprints(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), shingle=shingle), "fp")
-    return marked.join(classes(marked, radius), "fp").select("doc_id", "fp", "component_id")
+    group = F.xxhash64("band", a["of"], a["bin"], a["t"], b["of"], b["bin"], b["t"])
+    second = _compared(dealt.select(group.alias("g"), "node", "c"), distinct, radius)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second)
 
 
-def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp``, ``root`` (the smallest fingerprint of its component), ``component_id`` for each fingerprint of ``marked`` (columns doc_id, fp)."""
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def classes(marked: DataFrame, radius: int) -> DataFrame:
+    """``bits``, ``root`` (of its component), ``component_id`` for each fingerprint of ``marked`` (doc_id, bits, c, bands)."""
+    distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.first("c").alias("c"), F.first("bands").alias("bands"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     roots = components(links(distinct, radius))
-    member = written(roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least"), "member")
+    member = written(roots.join(distinct.select("node", "bits", "least"), "node").select("bits", "root", "least"), "member")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = member.join(least, "root").select("fp", "root", "component_id", F.lit(True).alias("linked"))
+    linked = member.join(least, "root").select("bits", "root", "component_id", F.lit(True).alias("linked"))
     alone = F.col("linked").isNull()
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return distinct.join(linked, "bits", "left").select("bits", F.coalesce("root", "node").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
 
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id`` (the smallest id in the row's component), one row for each row; by 64-bit fingerprints."""
+    fps = fingerprints(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), shingle=shingle)
+    marked = written(fps.withColumn("bits", F.unhex(hexadecimal(F.col("fp")))), "fp")
+    of = classes(marked.withColumn("c", F.bit_count("fp").cast("long")).withColumn("bands", _bands(F.col("fp"), radius)), radius)
+    return marked.join(of, "bits").select("doc_id", "fp", "component_id")
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row, with all its columns, of each component: a row with the smallest document id, or any row where all ids are null."""
-    fp = unused(docs.columns, "fp")
-    marked = fingerprints(docs, text, tuple(docs.columns), fp, shingle)
-    ids = written(marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")), "fp")
-    of = written(classes(ids, radius), "classes")
+
+def signatures(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int, names: tuple[str, str, str]) -> DataFrame:
+    """The kept columns and, under ``names``, the wide signature, its population count and its band values."""
+    kinds = (T.BinaryType(), T.LongType(), T.ArrayType(T.LongType()))
+    return with_text_columns(docs, text, keep, [T.StructField(n, k) for n, k in zip(names, kinds)], lambda texts: list(wide_signatures(texts, shingle)))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
+    """One row, with all its columns, of each group of near copies (by wide signatures): a row with the smallest document id, or any row where all ids are null.
+
+    Rows that surely stay pass without a shuffle; see ``sieve``.
+    """
+    names = tuple(unused(docs.columns, n) for n in ("bits", "c", "bands"))
+    marked = signatures(docs, text, tuple(docs.columns), shingle, names)
+    ids = written(signatures(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), "text", ("doc_id",), shingle, ("bits", "c", "bands")), "signatures")
+    of = written(classes(ids, radius_for(similarity)), "classes")
     chosen = F.col("doc_id") == F.col("component_id")
-    by_id = ids.join(of, "fp").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(chosen, 1)).alias("n_chosen"))
-    by_id = written(by_id.where("n_chosen > 0 or doc_id is null"), "chosen")
-    once = by_id.where("n = 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    out = docs.join(once, docs[doc_id] == once["__id"], "left_semi")
-    if not by_id.where("n > 1 or doc_id is null").isEmpty():  # repeated or null ids: the rows are told apart by their fingerprints too
+    by_id = ids.select("doc_id", "bits").join(of, "bits").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(chosen, 1)).alias("n_chosen"))
+    by_id = written(by_id, "by-id")
+    out = without_keys(docs.where(docs[doc_id].isNotNull()), doc_id, by_id.where("(n > 1 or n_chosen = 0) and doc_id is not null"), "doc_id")
+    if not by_id.where("n > 1 or doc_id is null").isEmpty():  # repeated or null ids: the rows are told apart by their signatures too
         often = by_id.where("n > 1").select("doc_id")
-        least = ids.join(often, "doc_id", "left_semi").join(of, "fp").where(chosen).groupBy("doc_id", "root").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
-        nameless = of.where("component_id is null").select(F.lit(None).cast(ids.schema["doc_id"].dataType).alias("doc_id"), F.col("root").alias("fp"))
-        which = least.union(nameless).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
-        more = marked.join(which, marked[doc_id].eqNullSafe(which["__id"]) & (marked[fp] == which["__fp"]), "left_semi")
-        out = out.unionByName(more.dropDuplicates([doc_id, fp]).select(*docs.columns))
+        least = ids.select("doc_id", "bits").join(often, "doc_id", "left_semi").join(of, "bits").where(chosen).groupBy("doc_id", "root").agg(F.min("bits").alias("bits")).select("doc_id", "bits")
+        nameless = of.where("component_id is null").groupBy("root").agg(F.min("bits").alias("bits")).select(F.lit(None).cast(ids.schema["doc_id"].dataType).alias("doc_id"), "bits")
+        which = least.union(nameless).select(F.col("doc_id").alias("__id"), F.col("bits").alias("__bits"))
+        more = marked.join(which, marked[doc_id].eqNullSafe(which["__id"]) & (marked[names[0]] == which["__bits"]), "left_semi")
+        out = out.unionByName(more.dropDuplicates([doc_id, names[0]]).select(*docs.columns))
     return out
