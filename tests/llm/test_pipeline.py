@@ -37,3 +37,15 @@ def test_contract_of_the_stages():
 def test_each_operator_has_a_query():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(oracle_sql()) <= set(QUERIES)
+
+
+def test_stages_take_empty_tables_and_nulls_in_every_column(spark, tmp_path):
+    spark.createDataFrame([(None, None), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = tables.frame(spark, [(None, None), (1, None), (1, "word " * 30)])
+    nulls = frame.selectExpr(*[f"CAST(NULL AS {kind}) AS `{name}`" for name, kind in frame.dtypes])
+    for docs in (frame.limit(0), nulls, frame):
+        for i, (_, stage) in enumerate(P.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert i == len(P.STAGES) - 1 or out.columns == docs.columns
+            n = out.count()
+            assert n == 0 if docs.isEmpty() else n <= 30, (i, n)
