@@ -67,8 +67,9 @@ class SuffixIndex:
             self._merge()
         new = self._sorted(entries.withColumn("n", F.lit(1).cast("long")))
         found = new.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+        mine = new.select("gram").distinct()
         for level in (x for v in self.levels.values() for x in v):
-            found = found.union(new.select("gram").join(level.select("gram"), "gram", "left_semi"))
+            found = found.union(mine.join(level.select("gram").distinct(), "gram", "left_semi"))
         found = written(found.distinct(), "found")
         self.levels.setdefault(1, []).append(new)
         return found
@@ -263,8 +264,9 @@ def repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     grams = found[0]
     for f in found[1:]:
         grams = grams.union(f)
-    several = written(_exploded(table).join(grams.distinct(), "gram", "left_semi"), "runs")
-    dropped(*found)
+    grams = written(grams.distinct(), "grams")  # a table, so that the join can be split where a gram is hot
+    several = written(_exploded(table).join(grams, "gram", "left_semi"), "runs")
+    dropped(grams, *found)
     tidied(spark)
 
     kinds = several.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "low", "width")).alias("one"))
