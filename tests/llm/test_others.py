@@ -48,9 +48,28 @@ def _gold(page):
 
 
 def test_html_held_out_pages():
-    model, pages = H.trained(), H.labelled_pages(150, seed=77)
-    right = sum(model.extract(p) == t for p, t in pages)
-    assert right >= 0.97 * len(pages)
+    """Blocks found, missed and wrongly kept on made-up pages of layouts like the training's, menus, comments and notices within articles among them."""
+    from collections import Counter
+
+    model, right, wrong = H.trained(), 0, 0
+    for page, text in H.labelled_pages(150, seed=77):
+        a, b = Counter(model.extract(page).split("\n")), Counter(text.split("\n"))
+        right += sum((a & b).values())
+        wrong += sum((a - b).values()) + sum((b - a).values())
+    assert right > 1500 and wrong < 0.05 * right
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><nav><a href=a>A</a></nav><article><h1>T</h1><p>Some prose here, long enough to read.</p><div class=ad>Buy this now</div><p>Short.</p></article><aside><p>Other prose here, long enough to read.</p></aside></body>", "T\nSome prose here, long enough to read.\nShort."),
+        ("<body><article><h1>T</h1><p>Some prose here, long enough to read.</p><div class='comments'><p>I disagree with all of this, sorry.</p></div></article></body>", "T\nSome prose here, long enough to read."),
+        ("<body><div id=header>Site</div><div id=content><p>Some prose here, long enough.</p><p>More of it.</p></div><form><p>Subscribe to our list.</p></form><div id=footer>(c) 2020</div>", "Some prose here, long enough.\nMore of it."),
+        ("<body><article><h1>T</h1><p>Some prose here, long enough.</p><ul><li>one</li><li>two three</li></ul></article><ol class='comment-list'><li>Nice words, thank you very much.</ol></body>", "T\nSome prose here, long enough.\none\ntwo three"),
+    ],
+)
+def test_html_layouts(page, want):
+    assert H.trained().extract(page) == want
 
 
 def test_html_cases(spark):

@@ -2,7 +2,7 @@
 
 A page's DOM is a tree of block elements with its text blocks as leaves. Each node has a hidden state:
 content (all its text is main text), boilerplate (none is) or mixed. A node emits what it looks like
-(tag, words of its class and id; of text blocks the share of links, the length and the last
+(its tag under its parent's, the share of links in it, words of its class and id; of text blocks the share of links, the length and the last
 character); parent-child potentials tie the states together. Sum-product messages go up from the
 leaves and down from the root, and leave each node's marginal. A text block belongs to the main text
 if its marginal for content is over one half.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tripleweave.llm.textmap import unused, with_text_columns
 
-TRAINING_PAGES, TRAINING_SEED = 400, 11
+TRAINING_PAGES, TRAINING_SEED = 800, 11
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
@@ -64,10 +64,10 @@ CONTENT, BOILERPLATE, MIXED = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "marks", "children", "parent", "text", "links")
+    __slots__ = ("tag", "marks", "children", "parent", "text", "links", "chars")
 
     def __init__(self, tag: str, marks: str = "", parent: Node | None = None):
-        self.tag, self.marks, self.parent, self.children, self.text, self.links = tag, marks, parent, [], "", 0
+        self.tag, self.marks, self.parent, self.children, self.text, self.links, self.chars = tag, marks, parent, [], "", 0, 0
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -103,6 +103,9 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             leaf.text, leaf.links = text, sum(len(x.strip()) for x, linked in run if linked)
             leaf.parent.children.append(leaf)
             blocks.append(leaf)
+            n = leaf.parent
+            while n is not None:
+                n.chars, n.links, n = n.chars + len(text), n.links + leaf.links, n.parent
         run.clear()
 
     def close(i: int) -> None:
@@ -190,7 +193,9 @@ def _looks(node: Node) -> tuple[tuple[str, str], ...]:
     if node.marks:
         found = {_KEYWORD[w] for m in _MARKS.finditer(node.marks) for w in _WORD.findall(m[1].lower()) if w in _KEYWORD}
         marks = tuple(("mark", x) for x in sorted(found))
-    return (("tag", node.tag if node.tag in _TAGS else "other"), *(marks or (("mark", "none"),)))
+    tag, under = (n.tag if n is not None and n.tag in _TAGS else "other" for n in (node, node.parent))
+    linked = "none" if not node.chars else str(min(2, int(3 * node.links / node.chars)) + (node.links > 0))
+    return (("tag", tag), ("under", f"{under} {tag}"), ("linked", linked), *(marks or (("mark", "none"),)))
 
 
 def _order(root: Node) -> list[Node]:
@@ -229,7 +234,7 @@ def _depth(n: Node) -> int:
 class Model:
     """Potentials of the tree. ``edge[kind][parent][child]`` for element and text children; ``look[feature][state]``."""
 
-    def __init__(self, pages: Iterable[tuple[str, str]], smooth: float = 0.5):
+    def __init__(self, pages: Iterable[tuple[str, str]], smooth: float = 0.02):
         edge = {k: [[smooth] * 3 for _ in range(3)] for k in ("element", "#text")}
         look: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * 3)
         for page, text in pages:
@@ -250,8 +255,14 @@ class Model:
 
     def _emits(self, node: Node) -> tuple[float, float, float]:
         a = b = c = 1.0
+        tag = None
         for f in _looks(node):
             x = self.look.get(f)
+            if f[0] == "tag":
+                tag = x
+                continue
+            if x is None and f[0] == "under":  # a pair of tags that no labelled page had
+                x = tag
             if x:
                 a, b, c = a * x[0], b * x[1], c * x[2]
         if node.tag == "#text":
@@ -326,37 +337,50 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> list[t
         return f"{named('div', 'cookie-notice consent alert newsletter')}<p>{prose(1, 2)}</p><button>{words(1, 2)}</button></div>"
 
     def side() -> str:
-        return f"{r.choice(('<aside>', '<aside class=\"sidebar\">'))}<h3>{words(1, 3)}</h3>{r.choice((f'<ul>{links(4)}</ul>', f'<p>{prose(1, 3)}</p>'))}</aside>"
+        open_tag = r.choice(("<aside>", '<aside class="sidebar">', '<div class="sidebar">', '<div id="sidebar">', '<div class="widget related">'))
+        inside = r.choice((f"<ul>{links(4)}</ul>", f"<p>{prose(1, 3)}</p>", f"<ul>{links(3)}</ul><p>{prose(1, 3)}</p>"))
+        return f"{open_tag}{r.choice(('', f'<h3>{words(1, 3)}</h3>'))}{inside}</{open_tag[1:].split(' ')[0].rstrip('>')}>"
 
     def form() -> str:
         return f'<form action="/s"><label>{words(1, 3)}</label><input name="q"><p>{prose(1, 1)}</p><button>{words(1, 1)}</button></form>'
 
     def comments() -> str:
-        one = lambda: r.choice((f"<div class=\"comment\"><p>{prose(1, 4)}</p></div>", f"<li class=\"comment\"><b>{words(1, 2)}</b> {prose(1, 3)}</li>"))
-        return f"{r.choice(('<section class=\"comments\">', '<div id=\"comments\">'))}<h3>{words(1, 2)}</h3>{''.join(one() for _ in range(r.randint(1, 5)))}{r.choice(('</section>', '</div>'))}"
+        outer, one = r.choice((("section", "div"), ("div", "div"), ("ol", "li"), ("ul", "li"), ("div", "article")))
+        mark = r.choice(('class="comments"', 'id="comments"', 'class="comment-list"', 'class="replies"', 'id="discussion"', 'class="reader-comments"'))
+        own = r.choice(("", ' class="comment"', ' class="reply"'))
+        each = (r.choice((f"<p>{prose(1, 4)}</p>", f"<b>{words(1, 2)}</b> {prose(1, 3)}", prose(1, 3))) for _ in range(r.randint(1, 5)))
+        head = f"<h3>{words(1, 2)}</h3>" if one != "li" and r.random() < 0.7 else ""
+        return f"<{outer} {mark}>{head}{''.join(f'<{one}{own}>{x}</{one}>' for x in each)}</{outer}>"
 
     def header() -> str:
-        return f"<header>{r.choice((f'<h1>{words(1, 3)}</h1>', f'<div class=\"logo\">{words(1, 2)}</div>', f'<p>{prose(1, 1)}</p>'))}{r.choice(('', menu()))}</header>"
+        inside = r.choice((f"<h1>{words(1, 3)}</h1>", f'<div class="logo">{words(1, 2)}</div>', f"<p>{prose(1, 1)}</p>", words(1, 3))) + r.choice(("", menu()))
+        return r.choice((f"<header>{inside}</header>", f'<div id="header">{inside}</div>', f'<div class="site-header">{inside}</div>'))
 
     def footer() -> str:
-        return f"{r.choice(('<footer>', '<div class=\"footer\">'))}{r.choice((f'&copy; {words(1, 2)} &middot; {prose(1, 3)}', f'<p>{prose(1, 2)}</p>', f'<ul>{links(3)}</ul>'))}{r.choice(('</footer>', '</div>'))}"
+        inside = r.choice((f"&copy; {words(1, 2)} &middot; {prose(1, 3)}", f"<p>{prose(1, 2)}</p>", f"<ul>{links(3)}</ul>"))
+        return r.choice((f"<footer>{inside}</footer>", f"<footer>{inside}</footer>", f'<div class="footer">{inside}</div>', f'<div id="footer">{inside}</div>'))
 
     out = []
     for i in range(n):
         text, body = [], []
-        careless = r.random() < 0.4
+        careless, inserts = r.random() < 0.4, 0.15 * (r.random() < 0.2)
         for j in range(r.choice((1, 2, 3, 5, 8, 13, 25, 40))):
             t = prose(1, 6) if r.random() < 0.7 else sentence(1, 3)
             shape = r.random()
             if j == 0 and r.random() < 0.8:
                 head = t[:60].strip()
                 text.append(head)
-                body.append(f"<h1>{head}</h1>")
-            if shape < 0.04:
-                items = [sentence(2, 8) for _ in range(3)]
+                body.append(f"<header><h1>{head}</h1></header>" if r.random() < 0.12 else f"<h1>{head}</h1>")
+            if r.random() < 0.1:
+                items = [sentence(2, 8) if r.random() < 0.5 else words(1, 3) for _ in range(r.randint(2, 5))]
                 text += items
-                body.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+                kind, inner = r.choice((("ul", "li"), ("ol", "li"), ("table", "td"), ("dl", "dd"), ("figure", "figcaption"), ("pre", "")))
+                inside = "".join(f"<{inner}>{x}</{inner}>" for x in items) if inner else items[0]
+                text[len(text) - len(items) :] = items if inner else items[:1]
+                body.append(f"<{kind}>" + (f"<tr>{inside}</tr>" if kind == "table" else inside) + f"</{kind}>")
                 continue
+            if r.random() < inserts:
+                body.append(r.choice((advert, side, comments, form, notice, menu))())
             if shape < 0.08:
                 t = words(2, 5).capitalize()
                 body.append(f"<h2>{t}</h2>")
@@ -367,7 +391,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> list[t
             else:
                 body.append(f"<p>{t}" + ("</p>" if not careless or r.random() < 0.7 else ""))
             text.append(t)
-        inner = "".join(body)
+        inner = "".join(body) + (comments() if r.random() < 0.12 else "")
         article = r.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main><article>{inner}</article></main>", f"<main>{inner}</main>", f"{named('div', 'content post entry-content article-body')}{inner}</div>", f"<div>{inner}</div>"))
         before = [x() for x in (header, menu, advert, notice, side, form) if r.random() < 0.4]
         after = [x() for x in (comments, side, advert, footer, form, menu) if r.random() < 0.45]
