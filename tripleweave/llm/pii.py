@@ -179,14 +179,14 @@ def exceptions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tu
     every = written(entities(docs, text), "entities")
     first = written(_with_surrogates(every, key), "surrogates")
     real = every.select("kind", F.col("original").alias("surrogate"))
-    open_ = written(first.join(real, ["kind", "surrogate"], "left_semi").select("kind", "original"), "open")
+    open_ = written(first.join(real.hint("merge"), ["kind", "surrogate"], "left_semi").select("kind", "original"), "open")
     taken, out = real.union(first.select("kind", "surrogate")), {}
     for attempt in range(1, ATTEMPTS + 1):
         n = open_.count()
         if not n or n > MAX_EXCEPTIONS:
             break
         drawn = written(_with_surrogates(open_, key + b"|%d" % attempt), "drawn")
-        good = drawn.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("original").alias("original"))
+        good = drawn.join(taken.hint("merge"), ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("original").alias("original"))
         good = written(good, "good")
         out |= {(r.kind, r.original): r.surrogate for r in good.collect()}
         taken = taken.union(good.select("kind", "surrogate"))
