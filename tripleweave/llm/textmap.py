@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -31,15 +32,14 @@ def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE_BYTES) -> Itera
     """Slices of a batch whose texts together have at most ``size`` bytes (or that have one row)."""
     if batch.num_rows == 0:
         return
-    texts = batch.column(column).cast(pa.large_binary()).to_pylist()
+    texts = batch.column(column).cast(pa.large_binary())
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
+    for i, n in enumerate([*lengths, size + 1]):
         if i > first and held + n > size:
-            yield batch.slice(first, i - first), texts[first:i]
+            yield batch.slice(first, i - first), texts.slice(first, i - first).to_pylist()
             first, held = i, 0
         held += n
-    yield batch.slice(first), texts[first:]
 
 
 def with_text_columns(

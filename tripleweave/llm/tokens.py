@@ -40,7 +40,7 @@ _HEAD = struct.Struct("<4sBBxxIQQ")
 #: Token ids in a shard: it ends with the document that reaches this many.
 SHARD_IDS = 2 << 20
 #: Words, and parts of words, whose ids a worker remembers.
-MEMORY, PARTS = 1_000_000, 200_000
+MEMORY, PARTS = 600_000, 120_000
 #: Bytes of text encoded at once: what is new in them is sorted into what is known.
 PIECE_BYTES = 4 << 20
 _LEADING, _TOGETHER = 18, 64
