@@ -108,3 +108,33 @@ def test_wide_signatures_match_the_definition():
 
 def test_radius_grows_with_the_distance():
     assert 155 < simhash.radius_for(0.8) < 180 and simhash.radius_for(0.9) < simhash.radius_for(0.8) and simhash.radius_for(1.0) == 0
+
+
+def test_one_of_each_goes_by_the_jaccard_of_shingle_sets(spark):
+    """A repeated line changes no set; pairs just above and below the similarity, short texts, and all of it with small tiles."""
+    r, given = random.Random(4), []
+    for i, (n, times) in enumerate(((804, 10), (404, 6), (1504, 15))):
+        text = tables.words(r, n, 5000)
+        given += [(10 * i, text), (10 * i + 1, text + ("\n" + tables.words(r, 10, 5000)) * times)]
+    for i in range(40):  # a cut end: Jaccard from 0.76 to 0.84
+        w = tables.words(r, 304, 5000).split()
+        given += [(100 + 2 * i, " ".join(w)), (101 + 2 * i, " ".join(w[: 4 + round(300 * (0.76 + i / 500))]))]
+    given += [(200, "a b c d e f g h"), (201, "a b c d e f g h i"), (202, "a b c d e f g x y")]
+    want = sorted(set(brute.similar(given).values()))
+    assert {0, 10, 20, 100, 101, 178, 200, 202} <= set(want) and not {1, 11, 21, 179, 201} & set(want)
+    docs = tables.frame(spark, given)
+    assert sorted(x.doc_id for x in simhash.one_of_each(docs).collect()) == want
+
+
+def test_exact_links_of_a_hot_band_in_small_tiles(spark):
+    r = random.Random(6)
+    base = tables.words(r, 204, 5000).split()
+    given = [(i, " ".join(base[: 204 - i % 100] + [f"n{i}-{j}" for j in range(i % 3 * 20)])) for i in range(150)]
+    want = brute.similar(given)
+    docs = tables.frame(spark, given).select("doc_id", "text").withColumn("place", F.xxhash64("text"))
+    ids = simhash.signatures(docs, "text", ("doc_id", "place"), 5, ("bits", "c", "bands"))
+    nodes = ids.select(F.col("doc_id").alias("node"), "bits", "c", F.array(F.lit(1).cast("long")).alias("bands"), "place")
+    radius = simhash.radius_for(0.8, deviations=simhash.DEVIATIONS)
+    for tile in (20, 1000):
+        got = {x.node: x.root for x in components(simhash.links(nodes, radius, tile, simhash.Exact(docs, "text", 5, 0.8))).collect()}
+        assert {i: got.get(i, i) for i, _ in given} == want

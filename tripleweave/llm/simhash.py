@@ -6,9 +6,13 @@ holds no link. Tiles are formed within the values of bands, so that not all pair
 
 * 64-bit fingerprints and a small radius: of ``radius + 1`` bands of the bits one at least is equal in
   two linked fingerprints. No link is lost.
-* Wide signatures (WIDE bits) for a similarity such as 0.8, which 64 bits can't tell: their radius is
-  a sixth of the bits, so the bands are of MinHash values instead: two texts of that similarity share
-  none of the BANDS bands of ROWS values with probability (1 - 0.8 ** ROWS) ** BANDS, 2 in 10,000.
+* Wide signatures (WIDE bits) for a Jaccard similarity of shingle sets such as 0.8, which 64 bits can't
+  tell: their radius is a fifth of the bits, so the bands are of MinHash values instead: two texts of
+  that similarity share none of the BANDS bands of ROWS values with probability
+  (1 - 0.8 ** ROWS) ** BANDS, 2 in 10,000. Signatures count each distinct shingle once and only name
+  candidates, within DEVIATIONS standard deviations; a pair is linked if the sets of its shingles'
+  64-bit hashes have that similarity. Sets are made for candidates alone. (The radius loses next to
+  none, but of sets of four and five shingles 2 in 10,000.)
 
 A band value with more than TILE members (a hot group of near copies) is dealt out as tiles to many
 tasks, and then as those pairs of tiles, of near population counts, that can join two components.
@@ -23,7 +27,8 @@ Repeated rows fall into one component. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from pyspark.sql import types as T
 
 from tripleweave.llm.components import components
 from tripleweave.llm.scratch import written
-from tripleweave.llm.sieve import without_keys
+from tripleweave.llm.sieve import bitmap, place_of, sifted, without_keys
 from tripleweave.llm.textmap import arrow_map, unused, with_text_columns
 from tripleweave.llm.wordhash import Words, byte_values, mixed
 
@@ -48,6 +53,8 @@ _CHUNK = 1 << 15
 #: Bits of wide signatures, and the MinHash bands that bring them together.
 WIDE, BANDS, ROWS = 1024, 16, 4
 SIMILARITY = 0.8
+#: How far beyond the expected distance at the similarity a pair is still a candidate.
+DEVIATIONS = 7
 _LANES = np.uint64(0x0101010101010101)
 _VALUES = byte_values(bytes(b for b in range(256) if b not in b" \t\n\v\f\r"), fold_case=True)
 
@@ -87,10 +94,10 @@ def _bands(fp: Column, radius: int) -> Column:
     return F.array(*[F.shiftleft(F.lit(i).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
-def radius_for(similarity: float, bits: int = WIDE) -> int:
-    """The distance of signatures of sets with this Jaccard similarity, and two standard deviations more."""
+def radius_for(similarity: float, bits: int = WIDE, deviations: float = 2) -> int:
+    """The distance of signatures of sets with this Jaccard similarity, and some standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def _sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -105,8 +112,8 @@ def _sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_signatures(texts: list[bytes | None], shingle: int) -> tuple[list[bytes], np.ndarray, list[list[int]]]:
-    """Signature, population count and band values of each text, over the hashes of its word shingles in lower case, repeats included; fewer words than a shingle are one."""
+def shingle_sets(texts: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct word shingles in lower case, ascending within each text, and where each text's begin (one entry more than texts); fewer words than a shingle are one."""
     words = Words(texts, _VALUES)
     n_words = np.diff(words.first)
     h, whole = words.runs(shingle)
@@ -114,10 +121,29 @@ def wide_signatures(texts: list[bytes | None], shingle: int) -> tuple[list[bytes
         short = words.first[:-1][n_words == m]
         if len(short):
             h[short], whole[short] = words.runs(m)[0][short], True
-    h = h[whole]
-    n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    h, owner = h[whole], np.repeat(np.arange(len(texts)), n_words)[whole]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+def digests(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Eight bytes for each set, to tell sets of equal signatures apart."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + _SALTS[0]), dtype=np.uint64)])
+    return [x.tobytes() for x in sums[first[1:]] - sums[first[:-1]]]
+
+
+def wide_signatures(texts: list[bytes | None], shingle: int) -> tuple[list[bytes], np.ndarray, list[list[int]]]:
+    """Signature, population count and band values of each text, over its distinct shingles."""
+    return _signed(*shingle_sets(texts, shingle))
+
+
+def _signed(h: np.ndarray, first_of: np.ndarray) -> tuple[list[bytes], np.ndarray, list[list[int]]]:
+    n = np.diff(first_of)
     there = np.flatnonzero(n)
-    bits, low = np.zeros((len(texts), WIDE // BITS), np.uint64), np.zeros((len(texts), BANDS * ROWS), np.uint64)
+    bits, low = np.zeros((len(n), WIDE // BITS), np.uint64), np.zeros((len(n), BANDS * ROWS), np.uint64)
     if len(there):
         first = np.concatenate([[0], np.cumsum(n[there])])
         for w in range(WIDE // BITS):
@@ -125,7 +151,7 @@ def wide_signatures(texts: list[bytes | None], shingle: int) -> tuple[list[bytes
             bits[there, w] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
         for i in range(BANDS * ROWS):
             low[there, i] = np.minimum.reduceat(h * _ODD[i], first[:-1])
-    bands = np.zeros((len(texts), BANDS), np.uint64)
+    bands = np.zeros((len(n), BANDS), np.uint64)
     for i in range(ROWS):
         bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + low[:, i::ROWS])
     bands = mixed(bands + np.arange(BANDS, dtype=np.uint64)[None, :])
@@ -180,34 +206,89 @@ def _group_links(fp: np.ndarray, radius: int) -> np.ndarray:
     return _joined(n, pairs)
 
 
+def _signatures_of(bits: list[bytes]) -> np.ndarray:
+    """A row of words each; of a wide signature, without the digest behind it."""
+    return np.frombuffer(b"".join(x[: WIDE // 8] for x in bits), np.uint64).reshape(len(bits), -1)
+
+
 def _compare(radius: int):
-    """Reads rows (group, node, bits) sorted by group and population count; holds one group at a time besides the batch."""
+    """A link for each node that has one in its group, of rows in order of the population count."""
+
+    def linked(node: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        root = _group_links(_signatures_of(bits), radius)
+        at = np.flatnonzero(root != np.arange(len(node)))
+        return node[at], node[root[at]]
+
+    return _by_group(linked, ["u", "v"])
+
+
+def _candidates(radius: int):
+    """The nodes that chains of distances within the radius connect in a group, under a hash of them all: what several bands bring together is one group again."""
+
+    def near(node: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        root = _group_links(_signatures_of(bits), radius)
+        several = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        several = several[np.lexsort((node[several], root[several]))]
+        edges = np.flatnonzero(np.diff(root[several], prepend=-1, append=-1)).tolist() if len(several) else [0]
+        names = [np.full(b - a, xxhash.xxh64_intdigest(node[several[a:b]].tobytes()), np.uint64) for a, b in zip(edges, edges[1:])]
+        return np.concatenate([np.zeros(0, np.uint64), *names]).view(np.int64), node[several]
+
+    return _by_group(near, ["g", "node"])
+
 
-    def linked(g: np.ndarray, node: np.ndarray, bits: list[bytes]) -> pa.RecordBatch:
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def _verified(radius: int, similarity: float):
+    """Links by exact similarity of shingle sets; pairs that others connect already are not tested."""
+
+    def linked(node: np.ndarray, bits: list[bytes], shingles: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        fp, sets = _signatures_of(bits), [np.frombuffer(x, np.uint64) for x in shingles]
+        root, n = np.arange(len(node)), len(node)
+        for i in range(0, n, BLOCK):
+            x, y = _hits(fp[i : i + BLOCK], fp, radius)
+            x, y = x[x + i < y] + i, y[x + i < y]
+            for a in np.unique(x).tolist():
+                others = y[x == a]
+                while len(others := others[root[others] != root[a]]):
+                    if _alike(sets[a], sets[others[0]], similarity):
+                        low, high = sorted((root[a], root[others[0]]))
+                        root[root == high] = low
+                    others = others[1:]
+        at = np.flatnonzero(root != np.arange(n))
+        return node[at], node[root[at]]
+
+    return _by_group(linked, ["u", "v"])
+
+
+def _by_group(made: Callable[..., tuple[np.ndarray, np.ndarray]], names: list[str]):
+    """Reads rows (group, node, binary columns) sorted by group; holds one group at a time besides the batch. ``made`` gets the nodes and columns of each group of several rows."""
+
+    def results(g: np.ndarray, node: np.ndarray, rest: list[list[bytes]]) -> pa.RecordBatch:
         edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         several = np.diff(edges) > 1
-        for a, b in zip(edges[:-1][several].tolist(), edges[1:][several].tolist()):
-            root = _group_links(np.frombuffer(b"".join(bits[a:b]), np.uint64).reshape(b - a, -1), radius)
-            at = np.flatnonzero(root != np.arange(b - a))
-            u.append(node[a:b][at])
-            v.append(node[a:b][root[at]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+        got = [made(node[a:b], *[x[a:b] for x in rest]) for a, b in zip(edges[:-1][several].tolist(), edges[1:][several].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (zip(*got) if got else ((), ()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, node, bits = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        g, node, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             g = np.concatenate([g, batch.column(0).to_numpy()])
             node = np.concatenate([node, batch.column(1).to_numpy()])
-            bits += batch.column(2).to_pylist()
+            more = [x.to_pylist() for x in batch.columns[2:]]
+            rest = [a + b for a, b in zip(rest, more)] if rest else more
             if not len(g):
                 continue
             cut = _last_run(g)
             if cut:
-                yield linked(g[:cut], node[:cut], bits[:cut])
-                g, node, bits = g[cut:], node[cut:], bits[cut:]
+                yield results(g[:cut], node[:cut], [x[:cut] for x in rest])
+                g, node, rest = g[cut:], node[cut:], [x[cut:] for x in rest]
         if len(g):
-            yield linked(g, node, bits)
+            yield results(g, node, rest)
 
     return run
 
@@ -218,15 +299,49 @@ def _last_run(g: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def _compared(rows: DataFrame, distinct: DataFrame, radius: int) -> DataFrame:
+def _compared(rows: DataFrame, distinct: DataFrame, radius: int, exact: Exact | None) -> DataFrame:
     """Links within the groups of rows (g, node, c)."""
     whole = rows.join(distinct.select("node", "bits"), "node")
     grouped = whole.repartition("g").sortWithinPartitions("g", "c").select("g", "node", "bits")
-    return written(arrow_map(grouped, _compare(radius), "u long, v long"), "links")
+    if exact is None:
+        return written(arrow_map(grouped, _compare(radius), "u long, v long"), "links")
+    near = written(arrow_map(grouped, _candidates(radius), "g long, node long").distinct(), "near")
+    sets = exact.sets(near.select("node").distinct().join(distinct.select("node", "bits", "place"), "node"))
+    whole = near.join(sets, "node").repartition("g").sortWithinPartitions("g").select("g", "node", "bits", "shingles")
+    return written(arrow_map(whole, _verified(radius, exact.similarity), "u long, v long"), "links")
+
+
+@dataclass(frozen=True)
+class Exact:
+    """Where the shingle sets of candidates are made from."""
 
+    docs: DataFrame
+    text: str
+    shingle: int
+    similarity: float
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``u``, ``v``: links between nodes that connect exactly what chains of distances within the radius, between nodes with a band in common, connect.
+    @property
+    def texts(self) -> DataFrame:
+        """``text`` and ``place``, a hash that finds it again."""
+        return self.docs.select(self.docs[self.text].cast("string").alias("text")).withColumn("place", F.xxhash64("text"))
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """``node``, ``bits``, ``shingles`` for rows (node, bits, place); texts of other places aren't shuffled."""
+        nodes = written(nodes.withColumn("digest", F.substring("bits", WIDE // 8 + 1, 8)), "candidates")
+        shingle = self.shingle
+
+        def kernel(texts: list[bytes | None]) -> list:
+            h, first = shingle_sets(texts, shingle)
+            return [digests(h, first), [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]]
+
+        maybe = sifted(self.texts, "place", bitmap(nodes, place_of(F.col("place"))), True)
+        made = with_text_columns(maybe, "text", ("place",), [T.StructField(n, T.BinaryType()) for n in ("digest", "shingles")], kernel)
+        made = made.groupBy("place", "digest").agg(F.first("shingles").alias("shingles"))
+        return written(nodes.join(made, ["place", "digest"]).select("node", "bits", "shingles"), "sets")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, exact: Exact | None = None) -> DataFrame:
+    """``u``, ``v``: links between nodes that connect exactly what chains of distances within the radius (with ``exact``, of those that also have its similarity), between nodes with a band in common, connect.
 
     distinct: one row for each fingerprint: ``node`` (long, 0 or more), ``bits`` (binary), ``c`` (its population count), ``bands`` (longs).
 
@@ -238,7 +353,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     met = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = written(met.select("band", F.ceil(F.col("n") / tile).cast("int").alias("k")), "bands")
     group = F.when(F.col("k") > 1, F.xxhash64("band", F.pmod(F.xxhash64("node"), F.col("k")))).otherwise(F.xxhash64("band"))
-    first = _compared(every.join(met, "band").select(group.alias("g"), "node", "c"), distinct, radius)
+    first = _compared(every.join(met, "band").select(group.alias("g"), "node", "c"), distinct, radius, exact)
     large = met.where("k > 1").select("band")
     if large.isEmpty():
         return first
@@ -264,15 +379,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     dealt = dealt.select("node", "c", "band", F.struct("of", "bin", "t").alias("own"), F.explode(pairs).alias("p"))
     a, b = F.least("own", "p"), F.greatest("own", "p")
     group = F.xxhash64("band", a["of"], a["bin"], a["t"], b["of"], b["bin"], b["t"])
-    second = _compared(dealt.select(group.alias("g"), "node", "c"), distinct, radius)
+    second = _compared(dealt.select(group.alias("g"), "node", "c"), distinct, radius, exact)
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second)
 
 
-def classes(marked: DataFrame, radius: int) -> DataFrame:
-    """``bits``, ``root`` (of its component), ``component_id`` for each fingerprint of ``marked`` (doc_id, bits, c, bands)."""
-    distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.first("c").alias("c"), F.first("bands").alias("bands"))
+def classes(marked: DataFrame, radius: int, exact: Exact | None = None) -> DataFrame:
+    """``bits``, ``root`` (of its component), ``component_id`` for each fingerprint of ``marked`` (doc_id, bits, c, bands; with ``exact``, place)."""
+    firsts = ("c", "bands") if exact is None else ("c", "bands", "place")
+    distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("least"), *[F.first(n).alias(n) for n in firsts])
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = components(links(distinct, radius))
+    roots = components(links(distinct, radius, exact=exact))
     member = written(roots.join(distinct.select("node", "bits", "least"), "node").select("bits", "root", "least"), "member")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = member.join(least, "root").select("bits", "root", "component_id", F.lit(True).alias("linked"))
@@ -289,20 +405,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def signatures(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int, names: tuple[str, str, str]) -> DataFrame:
-    """The kept columns and, under ``names``, the wide signature, its population count and its band values."""
+    """The kept columns and, under ``names``, the wide signature with the set's digest behind it, its population count and its band values."""
     kinds = (T.BinaryType(), T.LongType(), T.ArrayType(T.LongType()))
-    return with_text_columns(docs, text, keep, [T.StructField(n, k) for n, k in zip(names, kinds)], lambda texts: list(wide_signatures(texts, shingle)))
+
+    def kernel(texts: list[bytes | None]) -> list:
+        h, first = shingle_sets(texts, shingle)
+        bits, count, bands = _signed(h, first)
+        return [[a + b for a, b in zip(bits, digests(h, first))], count, bands]
+
+    return with_text_columns(docs, text, keep, [T.StructField(n, k) for n, k in zip(names, kinds)], kernel)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
-    """One row, with all its columns, of each group of near copies (by wide signatures): a row with the smallest document id, or any row where all ids are null.
+    """One row, with all its columns, of each group of near copies (chains of pairs whose shingle sets have the similarity): a row with the smallest document id, or any row where all ids are null.
 
     Rows that surely stay pass without a shuffle; see ``sieve``.
     """
     names = tuple(unused(docs.columns, n) for n in ("bits", "c", "bands"))
     marked = signatures(docs, text, tuple(docs.columns), shingle, names)
-    ids = written(signatures(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), "text", ("doc_id",), shingle, ("bits", "c", "bands")), "signatures")
-    of = written(classes(ids, radius_for(similarity)), "classes")
+    placed = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("place", F.xxhash64("text"))
+    ids = written(signatures(placed, "text", ("doc_id", "place"), shingle, ("bits", "c", "bands")), "signatures")
+    of = written(classes(ids, radius_for(similarity, deviations=DEVIATIONS), Exact(docs, text, shingle, similarity)), "classes")
     chosen = F.col("doc_id") == F.col("component_id")
     by_id = ids.select("doc_id", "bits").join(of, "bits").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(chosen, 1)).alias("n_chosen"))
     by_id = written(by_id, "by-id")
