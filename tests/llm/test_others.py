@@ -138,6 +138,20 @@ def test_pii_table_and_collision_check(spark):
     assert pii.pseudonymized(tables.frame(spark, rows).limit(0)).count() == 0
 
 
+def test_pii_collision_check_beyond_the_broadcast_bound(spark, monkeypatch):
+    chain = ["1234-5678-9012-3456"]
+    for _ in range(8):
+        chain.append(pii.surrogate("number", chain[-1]))
+    rows = [(i, f"x {a} y") for i, a in enumerate(chain)] + [(3, f"x {chain[3]} y"), (20, None), (21, ""), (22, "clean text"), (23, " and ".join(chain)), (None, f"x {chain[0]} y"), (25, "Dr. Bo called.")]
+    docs, keep = tables.frame(spark, rows), ("doc_id", "text", "n_words")
+    few = sorted(map(repr, pii.pseudonymized(docs, keep=keep).collect()))
+    monkeypatch.setattr(pii, "MAX_EXCEPTIONS", 2)
+    out = pii.pseudonymized(docs, keep=keep)
+    assert sorted(map(repr, out.collect())) == few and len(few) == len(rows)
+    given = [re.search(r"x (.*) y", r._text)[1] for r in out.collect() if r._text and r._text.startswith("x ")]
+    assert len(given) == len(chain) + 2 and not set(given) & set(chain) and len(set(given)) == len(chain)
+
+
 def _languages(n, seed):
     r = random.Random(seed)
     syllables = {"aa": "ka ti mo lu re sa".split(), "bb": "sch ung ver ein ich heit".split(), "cc": "ão ç nh lha mente ção".split()}

@@ -11,8 +11,9 @@ of all entities.
 The collision check finds surrogates that are somebody's real data: all distinct entities of all
 documents are joined with their surrogates, and each entity found draws anew, with another key, until
 its surrogate is nobody's data and nobody else's surrogate. These exceptions are broadcast up to
-MAX_EXCEPTIONS; beyond, or after ATTEMPTS draws, a format is so full that the first surrogate stays:
-then only distinctness and coreference hold.
+MAX_EXCEPTIONS; beyond, they are joined with the entities of each text, with the same result. After
+ATTEMPTS draws a format is so full that the first surrogate stays: then only distinctness and
+coreference hold.
 
 Defined cases: a null text stays null and has no entity. Overlapping finds go to the one that starts
 first, then to the longer. Repeated rows are treated alike. Extra columns are ignored.
@@ -23,15 +24,18 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tripleweave.llm.scratch import dropped, written
+from tripleweave.llm.sieve import bitmap, place_of, sifted
 from tripleweave.llm.textmap import arrow_map, pieces, unused, with_text_columns
 
 KEY = b"replace this key in production"
@@ -170,8 +174,8 @@ def _with_surrogates(df: DataFrame, key: bytes) -> DataFrame:
     return arrow_map(dealt, run, "kind string, original string, surrogate string")
 
 
-def exceptions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tuple[str, str], str]:
-    """The collision check: entities whose surrogate is somebody's real data, with the surrogates that they get instead.
+def exceptions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+    """The collision check: ``kind``, ``original``, ``surrogate`` of the entities whose surrogate is somebody's real data, with the ones that they get instead.
 
     Each round draws with another key for those still open. A draw is taken if it is nobody's real
     data, nobody's first surrogate and no other's draw.
@@ -180,17 +184,17 @@ def exceptions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tu
     first = written(_with_surrogates(every, key), "surrogates")
     real = every.select("kind", F.col("original").alias("surrogate"))
     open_ = written(first.join(real.hint("merge"), ["kind", "surrogate"], "left_semi").select("kind", "original"), "open")
-    taken, out = real.union(first.select("kind", "surrogate")), {}
+    taken, out = real.union(first.select("kind", "surrogate")), first.select("kind", "original", "surrogate").limit(0)
     for attempt in range(1, ATTEMPTS + 1):
-        n = open_.count()
-        if not n or n > MAX_EXCEPTIONS:
+        if open_.isEmpty():
             break
         drawn = written(_with_surrogates(open_, key + b"|%d" % attempt), "drawn")
         good = drawn.join(taken.hint("merge"), ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("original").alias("original"))
-        good = written(good, "good")
-        out |= {(r.kind, r.original): r.surrogate for r in good.collect()}
+        good = written(good, "good").select("kind", "original", "surrogate")
+        out = out.union(good)
         taken = taken.union(good.select("kind", "surrogate"))
-        open_ = written(open_.join(good, ["kind", "original"], "left_anti"), "open")
+        open_ = written(open_.join(good.hint("merge"), ["kind", "original"], "left_anti"), "open")
+    out = written(out, "exceptions")
     dropped(every, first)
     return out
 
@@ -203,13 +207,53 @@ def replaced(text: str, key: bytes = KEY, walked: dict[tuple[str, str], str] | N
     return "".join([*out, text[at:]]), got
 
 
+def _rows(texts: list[bytes | None], key: bytes, walked: Iterable[dict[tuple[str, str], str]]) -> list:
+    rows = [replaced(t.decode("utf-8", "replace"), key, w) if t is not None else (None, []) for t, w in zip(texts, walked)]
+    return [[x for x, _ in rows], [len(e) for _, e in rows], [[x.kind for x in e] for _, e in rows]]
+
+
 def pseudonymized(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), key: bytes = KEY) -> DataFrame:
     """The kept columns, the text with surrogates, ``n_entities`` and ``kinds`` (of each entity, in order)."""
-    sent = docs.sparkSession.sparkContext.broadcast(exceptions(docs, text, key))
+    fields = [T.StructField(unused(keep, n), k) for n, k in (("text", T.StringType()), ("n_entities", T.LongType()), ("kinds", T.ArrayType(T.StringType())))]
+    found_out = exceptions(docs, text, key)
+    if found_out.count() > MAX_EXCEPTIONS:
+        return _joined(docs, text, keep, key, fields, found_out)
+    sent = docs.sparkSession.sparkContext.broadcast({(r.kind, r.original): r.surrogate for r in found_out.collect()})
+    return with_text_columns(docs, text, keep, fields, lambda texts: _rows(texts, key, repeat(sent.value)))
 
-    def kernel(texts: list[bytes | None]) -> list:
-        rows = [replaced(t.decode("utf-8", "replace"), key, sent.value) if t is not None else (None, []) for t in texts]
-        return [[x for x, _ in rows], [len(e) for _, e in rows], [[x.kind for x in e] for _, e in rows]]
 
-    fields = [T.StructField(unused(keep, n), k) for n, k in (("text", T.StringType()), ("n_entities", T.LongType()), ("kinds", T.ArrayType(T.StringType())))]
-    return with_text_columns(docs, text, keep, fields, kernel)
+def _joined(docs: DataFrame, text: str, keep: tuple[str, ...], key: bytes, fields: list[T.StructField], walked: DataFrame) -> DataFrame:
+    """As :func:`pseudonymized`, for any number of exceptions: each text gets its own by a join.
+
+    A text is found again by a 64-bit hash. Texts with the same hash get the exceptions of both, which
+    changes nothing. Texts without exceptions aren't shuffled.
+    """
+    keep = tuple(keep)
+    names = [f"__k{i}" for i in range(len(keep))]
+    source = docs.select(docs[text].cast("string").alias("__text"), *[docs[c].alias(n) for c, n in zip(keep, names)]).withColumn("__place", F.xxhash64("__text"))
+
+    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in pieces(batch, 0):
+                got = sorted({(p, e.kind, e.text) for p, t in zip(part.column(1).to_pylist(), texts) if t for e in found(t.decode("utf-8", "replace"))})
+                kinds = (pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], k) for i, k in enumerate(kinds)], names=["place", "kind", "original"])
+
+    occurs = arrow_map(source.select("__text", "__place"), occurring, "place long, kind string, original string")
+    own = F.collect_set(F.struct("kind", "original", "surrogate")).alias("__walked")
+    of = written(occurs.join(walked, ["kind", "original"]).groupBy("place").agg(own), "walked").withColumnRenamed("place", "__place")
+    bits = bitmap(of, place_of(F.col("__place")))
+    none = F.lit(None).cast(of.schema["__walked"].dataType).alias("__walked")
+    columns = ["__text", "__walked", *names]
+    given = sifted(source, "__place", bits, False).select("__text", none, *names).union(sifted(source, "__place", bits, True).join(of, "__place", "left").select(*columns))
+    out = T.StructType([T.StructField(c, docs.schema[c].dataType, True) for c in keep] + fields)
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in pieces(batch, 0):
+                own = ({(w["kind"], w["original"]): w["surrogate"] for w in ws or ()} for ws in part.column(1).to_pylist())
+                made = [pa.array(x, k) for x, k in zip(_rows(texts, key, own), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *made], names=out.names)
+
+    return arrow_map(given, run, out)
