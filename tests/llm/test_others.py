@@ -39,6 +39,13 @@ def test_url_vocabulary(spark):
     assert [tuple(r) for r in U.allowed(pages).collect()] == [(2, None, 2)]
 
 
+def test_url_two_distinct_soft_terms_reject(spark):
+    hosts = ["click-track", "win-bonus", "free-deals", "cheap-pills", "spam-farm", "ads-track", "adult-x", "free-free", "clicktrack"]
+    got = _judge(spark, [f"http://{h}.org/a" for h in hosts])
+    assert [r.verdict for r in got.values()] == ["block"] * 6 + ["allow"] * 3
+    assert all(r.n_strict == 0 for r in got.values())
+
+
 def _gold(page):
     import html
 

@@ -2,7 +2,7 @@
 
 All terms are found in one pass over the lower-cased host and path. A term counts only between
 boundaries: the characters beside it are not letters or digits. One strict term rejects; so do
-soft terms whose weights, each distinct term once, reach SOFT_LIMIT. An allow or block rule that fits the url
+two or more distinct soft terms (whose weights, each once, reach a limit that a caller may raise). An allow or block rule that fits the url
 decides before the vocabulary.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
@@ -30,13 +30,14 @@ CONTRACT_RULES = (
 )
 
 #: A strict term rejects alone.
-STRICT = ("porn", "xxx", "adult-x", "casino", "casino-win", "cheap-pills", "free-bets", "spam-farm", "ads-track", "viagra", "cialis", "escort", "hentai", "malware", "phishing")
+STRICT = ("porn", "xxx", "casino", "viagra", "cialis", "escort", "hentai", "malware", "phishing")
 #: Soft terms and their weights.
 SOFT = {
     "adult": 2, "ads": 1, "bet": 1, "bets": 1, "bingo": 2, "bonus": 1, "cheap": 1, "click": 1, "coupon": 1, "deal": 1, "deals": 1, "farm": 1, "free": 1,
     "jackpot": 2, "loan": 1, "loans": 1, "lottery": 2, "pharma": 1, "pills": 2, "poker": 2, "prize": 1, "sexy": 2, "slots": 2, "spam": 2, "track": 1, "win": 1, "winner": 1,
 }
-SOFT_LIMIT = 3
+#: Any two distinct soft terms reach it.
+SOFT_LIMIT = 2
 _EDGE = re.compile(r"[^\W_]")
 
 
