@@ -152,6 +152,31 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(store.table("cs_s_sets"), "cs").select(F.size("predicates").cast("long").alias("size"), F.element_at("predicates", 1).alias("first"), "n").where(~F.col("first").contains("label"))
 
 
+def _all_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole predicate index."""
+    return store_of(spark, sf_dir).table("pred_stats").select("p", "n_triples", "n_subjects", "n_objects")
+
+
+def _all_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each characteristic set of subjects with all its predicates, in order, and how many subjects have it."""
+    store = store_of(spark, sf_dir)
+    sizes = store.table("cs_s").groupBy("cs").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(store.table("cs_s_sets"), "cs").select(F.size("predicates").cast("long").alias("size"), F.concat_ws(" ", F.array_sort("predicates")).alias("predicates"), "n")
+
+
+def _triples_sql() -> str:
+    """All triples of the mapped tables, repeats included."""
+    parts, labels = [], []
+    for m in relational.MAPPINGS:
+        subject = f"'<http://ex.org/{m.kind}/' || " + " || '-' || ".join(m.key) + " || '>'"
+        pairs = [(_TYPE, _class(m.kind))] + [(_pred(p), _i(kind, c)) for p, c, kind in m.links] + [(_pred(c), _lit(c)) for c in m.literals]
+        parts += [f"SELECT {subject} AS s, {p} AS p, {o} AS o FROM {m.table}" for p, o in pairs]
+        labels += [p for p, *_ in m.links] + list(m.literals)
+    parts.append(f"SELECT {_i('region', 'r_regionkey')}, {_pred('same_as')}, {_i('region', 'r_regionkey')} FROM region")
+    parts += [f"SELECT {_pred(n)}, {_pred('label')}, '\"{n}\"'" for n in labels]
+    return "SELECT s, p, o FROM (" + " UNION ALL ".join(parts) + ") WHERE s IS NOT NULL AND o IS NOT NULL"
+
+
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary's ids are dense: as many as terms, from 1."""
     return store_of(spark, sf_dir).table("dict").agg((F.count(F.lit(1)) - F.max("id")).alias("gaps"), F.min("id").alias("least"), (F.count(F.lit(1)) - F.countDistinct("id")).alias("repeats"))
@@ -179,6 +204,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {n: partial(_count, text) for n, (text, _) in _LIMITED.items()}
     out |= {f"{n}_ids": partial(_run, QUERIES[n], encoded=True) for n in ("q01_path", "q03_cyclic", "q17_pred_entity", "q19_distinct")}
     out |= {n: partial(_access, of) for n, (of, _) in _ACCESS.items()}
+    out |= {"s05_all_predicate_stats": _all_stats, "s08_all_characteristic_sets": _all_sets}
     return out | {"s05_predicate_stats": _stats, "s08_characteristic_sets": _sets, "s02_dictionary": _dictionary}
 
 
@@ -189,5 +215,7 @@ def oracle_sql() -> dict[str, str]:
     out["s05_predicate_stats"] = " UNION ALL ".join(f"SELECT {_pred(p)} AS p, count(*) AS n_triples, count(DISTINCT {s}) AS n_subjects, count(DISTINCT {o}) AS n_objects FROM {t}" for p, t, s, o in stats)
     firsts = [("c_mktsegment", 3, "customer"), ("n_name", 3, "nation"), ("o_cust", 4, "orders"), ("p_brand", 4, "part"), ("r_name", 3, "region"), ("s_name", 3, "supplier"), ("e_user", 3, "events"), ("l_order", 5, f"{_ITEM} l")]
     out["s08_characteristic_sets"] = " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, {_pred(p)} AS first, count(*) AS n FROM {t}" for p, n, t in firsts)
+    out["s05_all_predicate_stats"] = f"SELECT p, count(*) AS n_triples, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM (SELECT DISTINCT s, p, o FROM ({_triples_sql()})) GROUP BY p"
+    out["s08_all_characteristic_sets"] = f"SELECT size, predicates, count(*) AS n FROM (SELECT s, count(*) AS size, string_agg(p, ' ' ORDER BY p) AS predicates FROM (SELECT DISTINCT s, p FROM ({_triples_sql()})) GROUP BY s) GROUP BY size, predicates"
     out["s02_dictionary"] = "SELECT 0::BIGINT AS gaps, 1::BIGINT AS least, 0::BIGINT AS repeats"
     return out
