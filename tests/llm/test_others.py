@@ -180,6 +180,17 @@ def test_language_held_out_accuracy_and_cases(spark):
     assert L.fit(docs.limit(0)) == {}
 
 
+def test_language_with_few_rows_is_learned_beside_large_ones(spark):
+    rows = [x for x in _languages(1500, 9) if x[2] != "cc"] + [(5000 + i, t, "cc") for i, (_, t, lang) in enumerate(_languages(30, 10)) if lang == "cc"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, max_training=20)
+    assert set(model) == {"aa", "bb", "cc"}
+    got = {r.doc_id: r.lang_pred for r in L.predicted(docs, model).collect()}
+    few = [d for d, _, lang in rows if lang == "cc"]
+    assert 5 <= len(few) <= 20 and all(got[d] == "cc" for d in few)
+    assert set(L.fit(docs, max_training=10_000)) == set(model)
+
+
 def test_language_vectors_match_the_definition():
     import numpy as np
 

@@ -9,8 +9,8 @@ Letters are compared in lower case; each run of other characters is one boundary
 letter. Vectors are made by array operations for each distinct trigram of a batch, never for each
 place in a text. Prototypes are summed as integers, so their sum doesn't depend on how rows are dealt.
 
-The model is fitted on a bounded sample: at most about MAX_TRAINING labelled documents, chosen by a
-hash of their id, all of each text. Only sums of one vector for each language and task are shuffled.
+The model is fitted on a bounded sample: of each language at most about MAX_TRAINING labelled
+documents, chosen by a hash of their id, all of each text. Only sums of one vector for each language and task are shuffled.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as are all texts if
 nothing is labelled. Of equal cosines the first language by name wins. Repeated rows are judged alike.
@@ -129,11 +129,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", dimensions: int = DIMENSIONS, max_training: int = MAX_TRAINING) -> dict[str, np.ndarray]:
-    """Prototypes of unit length by language, from rows with a language; rows are chosen by a hash of ``key``."""
+    """Prototypes of unit length by language, from rows with a language. A language with more than ``max_training`` rows is learned from about so many, chosen by a hash of ``key``; any other from all its rows."""
     rows = labelled.where(labelled[lang].isNotNull())
-    n = rows.count()
-    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_training / max(n, 1)))
-    rows = rows.where(share).select(F.col(text).cast("string"), F.col(lang).cast("string"))
+    large = rows.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_training).collect()
+    if large:
+        limits = F.create_map(*[F.lit(x) for r in large for x in (r.lang, int((1 << 30) * max_training / r.n))])
+        limit = F.coalesce(F.try_element_at(limits, F.col(lang).cast("string")), F.lit(1 << 30))
+        rows = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < limit)
+    rows = rows.select(F.col(text).cast("string"), F.col(lang).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
