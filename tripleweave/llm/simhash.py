@@ -276,13 +276,11 @@ def _by_group(made: Callable[..., tuple[np.ndarray, np.ndarray]], names: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, node, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in batches:
+        for batch in (whole.slice(i, TILE) for whole in batches for i in range(0, whole.num_rows, TILE)):
             g = np.concatenate([g, batch.column(0).to_numpy()])
             node = np.concatenate([node, batch.column(1).to_numpy()])
             more = [x.to_pylist() for x in batch.columns[2:]]
             rest = [a + b for a, b in zip(rest, more)] if rest else more
-            if not len(g):
-                continue
             cut = _last_run(g)
             if cut:
                 yield results(g[:cut], node[:cut], [x[:cut] for x in rest])
