@@ -14,11 +14,12 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripleweave.llm.textmap import unused, with_text_columns
+from tripleweave.llm.textmap import text_column, unused, with_text_columns
 from tripleweave.llm.wordhash import Words, byte_values
 
 SYMBOLS = b"#*$%&|<>"
@@ -140,6 +141,13 @@ def ablations(book: DataFrame, policy: str = PRODUCTION) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = PRODUCTION, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, that the policy doesn't reject."""
-    book = ledger(docs, text, tuple(docs.columns))
-    return book.where(verdict(F.col(unused(docs.columns, "fail_bits")), policy)).select(*docs.columns)
+    """The rows, with all their columns, that the policy doesn't reject. Only the texts go to the workers."""
+    kind = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+
+    def kernel(texts: list[bytes | None]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure(texts)], list(MEASURES))
+
+    measured = unused(docs.columns, "measured")
+    book = docs.withColumn(measured, text_column(docs, text, kind, kernel))
+    bits = _bits({m: f"{measured}`.`{m}" for m in MEASURES})
+    return book.where(verdict(bits, policy)).select(*docs.columns)

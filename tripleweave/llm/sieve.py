@@ -8,15 +8,13 @@ joined; the result is the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tripleweave.llm.textmap import arrow_map, unused
+from tripleweave.llm.textmap import column_of
 
 BITS = 26
 
@@ -35,19 +33,16 @@ def place_of(key: Column) -> Column:
 
 
 def sifted(df: DataFrame, key: str, bits: bytes, inside: bool) -> DataFrame:
-    """The rows whose key's bit is set (or isn't)."""
+    """The rows whose key's bit is set (or isn't). Only the bits' places go to the workers."""
     sent = df.sparkSession.sparkContext.broadcast(bits)
-    place = unused(df.columns, "place")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hit(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
         table = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-            yield pc.filter(rows, pa.array(hit == inside)) if not (hit == inside).all() else rows
+        return pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
 
-    return arrow_map(df.withColumn(place, place_of(F.col(key))), run, df.schema)
+    found = column_of(df, place_of(F.col(key)), T.BooleanType(), hit)
+    return df.where(found if inside else ~found)
 
 
 def without_keys(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:

@@ -1,16 +1,23 @@
 """Narrow text kernels: Arrow batches in, a few columns out, no shuffle.
 
 ``with_text_columns`` hands a kernel the UTF-8 bytes of a text column in pieces of bounded size and
-puts the kernel's columns beside the columns the caller keeps.
+puts the kernel's columns beside the columns the caller keeps. ``column_of`` gives a column made from
+another one: only that column goes to the worker and back, the other columns stay in the JVM.
+
+Workers live on between tasks. At the end of each task they give back the memory that they have freed,
+so what an executor holds doesn't add up the peaks of all workers that it ever started.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -68,7 +75,57 @@ def with_text_columns(
     return arrow_map(source, run, out)
 
 
+@lru_cache(maxsize=1)
+def _allocator() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back, if it has one; from then on Arrow allocates there too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, whose worker gives freed memory back when it ends."""
+
+    def outer(batches: Iterator) -> Iterator:
+        trim = _allocator()
+        try:
+            yield from run(batches)
+        finally:
+            if trim:
+                trim(0)
+
+    return outer
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow, with this package known to the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(thrifty(run), schema)
+
+
+def column_of(df: DataFrame, column: Column, kind: T.DataType, made: Callable[[pa.Array], pa.Array]) -> Column:
+    """A column of ``df``: what ``made`` gives for each batch of the values of ``column``."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield made(values)
+
+    outer = thrifty(run)
+
+    def of_values(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from outer(batches)
+
+    of_values.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(of_values, kind)(column)
+
+
+def text_column(df: DataFrame, text: str, kind: T.DataType, kernel: Callable[[list[bytes | None]], Sequence]) -> Column:
+    """A column of ``df`` from the texts' UTF-8 bytes, which the kernel gets in pieces of bounded size."""
+    of = to_arrow_type(kind)
+
+    def made(values: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([values], names=["text"])
+        parts = [x if isinstance(x, pa.Array) else pa.array(x, of) for x in (kernel(texts) for _, texts in pieces(batch, 0))]
+        return pa.concat_arrays(parts) if parts else pa.array([], of)
+
+    return column_of(df, df[text].cast("string"), kind, made)
