@@ -8,7 +8,7 @@ import urllib.request
 
 import pytest
 
-from tests.toy import TOY, evaluate, text_of
+from tests.toy import TOY, evaluate, group_text, solutions, text_of
 from tripleweave import Engine, ParseError, QueryError, Store, cli, ntriples
 from tripleweave.operators.access import AccessPaths
 from tripleweave.operators.joins import intersection
@@ -247,3 +247,32 @@ def test_errors_say_where():
     with pytest.raises(ParseError, match="character 7"):
         Engine(None).parse("SELECT 5")
     assert Pattern(Var("a"), Const("<p>"), Var("a")).variables == ("a",)
+
+
+def _random_group(r, depth):
+    terms = ["?x", "?y", "?z", "?k"]
+    patterns = [(r.choice(terms), r.choice(["<knows>", "<type>", "<likes>", "<name>", "<nope>"] if depth < 2 else ["<knows>", "<type>"]), r.choice([*terms, "<c>"])) for _ in range(1)]
+    return patterns, [_random_group(r, depth - 1) for _ in range(r.randint(1, 2))] if depth else []
+
+
+def test_optionals_match_a_nested_loop(store):
+    r, key = random.Random(8), lambda row: tuple((v is None, v or "") for v in row)
+    groups = [_random_group(r, 2) for _ in range(14)]
+    groups.append(([("?a", "<likes>", "?c")], [([("?a", "<knows>", "?k")], [([("?k", "<nope>", "?c")], [])])]))
+    for g in groups:
+        text = f"SELECT * WHERE {{ {group_text(g)} }}"
+        names = [c for c in Engine(store).sparql(text).columns]
+        want = sorted((tuple(row.get(f"?{v}") for v in names) for row in solutions(TOY, g)), key=key)
+        assert sorted(map(tuple, Engine(store).sparql(text).collect()), key=key) == want, text
+
+
+def test_optionals_are_no_nested_loops(spark, store):
+    text = "SELECT * WHERE { ?a <likes> ?c OPTIONAL { ?a <knows> ?k } OPTIONAL { ?k <name> ?n } }"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan_text = Engine(store).sparql(text)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    parts = plan_text.split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in parts and parts.count("NestedLoop") + parts.count("Cartesian") <= 2  # the unbound rows, which all partners match

@@ -29,3 +29,20 @@ def evaluate(graph, patterns):
 
 def text_of(patterns):
     return " . ".join(" ".join(p) for p in patterns)
+
+
+def solutions(graph, group):
+    """All bindings of a group (patterns, [groups that are optional]), each compatible with what is bound so far."""
+    patterns, optionals = group
+    out = evaluate(graph, patterns)
+    for g in optionals:
+        right, step = solutions(graph, g), []
+        for row in out:
+            step += [row | r for r in right if all(row.get(k, v) == v for k, v in r.items())] or [row]
+        out = step
+    return out
+
+
+def group_text(group):
+    patterns, optionals = group
+    return " . ".join([text_of(patterns)]) + "".join(f" OPTIONAL {{ {group_text(g)} }}" for g in optionals)
