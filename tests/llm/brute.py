@@ -125,3 +125,12 @@ def repeats(docs, k=400):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def passages(docs, k=51):
+    """{doc_id: words in runs of k words that another row has too}"""
+    rows, holders = [(d, split(t)) for d, t in docs], defaultdict(set)
+    for n, (_, w) in enumerate(rows):
+        for i in range(len(w) - k + 1):
+            holders[tuple(w[i : i + k])].add(n)
+    return {d: len({j for i in range(len(w) - k + 1) if len(holders[tuple(w[i : i + k])]) > 1 for j in range(i, i + k)}) for d, w in rows}

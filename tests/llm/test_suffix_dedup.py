@@ -11,6 +11,8 @@ def _docs():
     docs = tables.rows()
     p = tables.words(r, 150)
     docs += [(70 + i, tables.words(r, 30) + p[i : i + 420] + tables.words(r, 30)) for i in range(25)]
+    short = " ".join(r.choice("a bc def gh".split()) for _ in range(54))  # a passage of 54 words, under 400 bytes
+    docs += [(200 + i, f"{tables.words(r, 40)} {short} {tables.words(r, 70)}") for i in range(3)] + [(203, f"{short} {short}"), (204, "of " * 120), (205, short[:-5])]
     docs += [(100, "ab" * 600), (101, "b" + "ab" * 250), (102, p[:399]), (103, p[:400]), (104, "é" * 350), (105, p[5:]), (106, "x" + "é" * 260)]
     return docs
 
@@ -21,6 +23,7 @@ def test_documents_match_brute_force(spark, hot):
     out = suffix_dedup.repeats(tables.frame(spark, docs), hot_kinds=hot).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
     assert got == brute.repeats(docs)
+    assert {r.doc_id: r.n_passage_words for r in out} == brute.passages(docs)
     texts = dict(docs)
     for r in out:
         kept = suffix_dedup.without_repeats((texts[r.doc_id] or "").encode(), [(s.first, s.end) for s in r.spans])

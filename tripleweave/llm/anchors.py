@@ -38,7 +38,7 @@ class Sums:
         return mixed((b - a) * self.down[first : last + 1])
 
 
-def _least(keys: np.ndarray, width: int) -> np.ndarray:
+def least(keys: np.ndarray, width: int) -> np.ndarray:
     """Of each ``width`` neighbours the least."""
     m, w = keys, 1
     while 2 * w <= width:
@@ -82,7 +82,7 @@ def runs(texts: list[bytes], match: int, gram: int = GRAM) -> dict[str, np.ndarr
         sums = Sums(buffer)
         h = sums.windows(0, n - gram, gram)
         keys = (h >> U(_PLACE) << U(_PLACE)) | np.arange(len(h), dtype=np.uint64)
-        anchor = (_least(keys, match - gram + 1) & U((1 << _PLACE) - 1)).astype(np.int64)
+        anchor = (least(keys, match - gram + 1) & U((1 << _PLACE) - 1)).astype(np.int64)
         inside = np.zeros(len(anchor) + 1, np.int64)
         np.add.at(inside, starts, 1)
         np.add.at(inside, ends - match + 1, -1)

@@ -15,6 +15,9 @@ each kind. Anchors with more than HOT_KINDS kinds of runs (a passage in very man
 gathered in a group: their windows are exploded and counted. Texts are scanned again for that, and
 only those that hold such runs are shuffled.
 
+Beside that, passages of over fifty words that other documents have too are counted, which may be
+shorter than ``match`` (see ``passages``); they are not removed.
+
 Texts are told apart by the first 128 bits of their SHA-256, windows by 128 bits (anchor and window).
 
 Defined cases: a null text is empty. A text shorter than ``match`` keeps all. Matches never cross
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleweave.llm.anchors import GRAM, Sums, runs
+from tripleweave.llm.passages import grams, shared_words
 from tripleweave.llm.scratch import dropped, tidied, written
 from tripleweave.llm.sieve import BITS, bitmap
 from tripleweave.llm.textmap import arrow_map, pieces, with_text_columns
@@ -84,7 +88,7 @@ def _halves(digest: bytes) -> tuple[int, int]:
 
 
 def suffixes(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), match: int = MATCH, gram: int = GRAM) -> DataFrame:
-    """The kept columns under names k0.., ``n_bytes``, ``sha`` of the text, its halves ``a``, ``b``, and all its runs, packed."""
+    """The kept columns under names k0.., ``n_bytes``, ``sha`` of the text, its halves ``a``, ``b``, all its runs, packed, and its ``n_words`` and word grams (see ``passages``)."""
 
     def kernel(texts: list[bytes | None]) -> list:
         shas = [hashlib.sha256(t or b"").digest() for t in texts]
@@ -93,10 +97,10 @@ def suffixes(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         rows["gram"], rows["span"], rows["low"], rows["width"] = found["gram"], found["span"], found["low"], found["high"] - found["low"]
         bounds = np.searchsorted(found["text"], np.arange(len(texts) + 1)).tolist()
         a, b = zip(*map(_halves, shas)) if shas else ((), ())
-        return [[len(t or b"") for t in texts], shas, list(a), list(b), [rows[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]]
+        return [[len(t or b"") for t in texts], shas, list(a), list(b), [rows[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], *grams(texts)]
 
     named = docs.select(docs[text].alias("text"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
-    kinds = (("n_bytes", T.LongType()), ("sha", T.BinaryType()), ("a", T.LongType()), ("b", T.LongType()), ("runs", T.BinaryType()))
+    kinds = (("n_bytes", T.LongType()), ("sha", T.BinaryType()), ("a", T.LongType()), ("b", T.LongType()), ("runs", T.BinaryType()), ("n_words", T.LongType()), ("grams", T.BinaryType()))
     return with_text_columns(named, "text", tuple(f"k{i}" for i in range(len(keep))), [T.StructField(n, k) for n, k in kinds], kernel)
 
 
@@ -252,21 +256,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), match: int = MATCH, batches: int = BATCHES, hot_kinds: int = HOT_KINDS) -> DataFrame:
-    """The kept columns, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``spans`` (first, end of what goes)."""
+    """The kept columns, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_passage_words`` (words in passages that other documents have too) and ``spans`` (first, end of what goes)."""
     spark = docs.sparkSession
     table = written(suffixes(docs, text, keep, match), "suffixes")
+    passages = shared_words(table, lambda keys: _texts(docs, text, keys))
+    tidied(spark)
     index, found = SuffixIndex(spark), []
     for b in range(batches):
         part = table.where(F.pmod(F.col("b"), F.lit(batches)) == b)
         found.append(index.add(_exploded(part).select("gram", "span")))
     index.drop()
     tidied(spark)
-    grams = found[0]
+    anchored = found[0]
     for f in found[1:]:
-        grams = grams.union(f)
-    grams = written(grams.distinct(), "grams")  # a table, so that the join can be split where a gram is hot
-    several = written(_exploded(table).join(grams, "gram", "left_semi"), "runs")
-    dropped(grams, *found)
+        anchored = anchored.union(f)
+    anchored = written(anchored.distinct(), "grams")  # a table, so that the join can be split where a gram is hot
+    several = written(_exploded(table).join(anchored, "gram", "left_semi"), "runs")
+    dropped(anchored, *found)
     tidied(spark)
 
     kinds = several.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "low", "width")).alias("one"))
@@ -296,10 +302,10 @@ def repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     texts = _texts(docs, text, partly)
     kept = arrow_map(texts.join(partly, ["a", "b"]).select("a", "b", "text", "spans"), _kept, "a long, b long, kept string").distinct()
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    out = judged.join(kept, ["a", "b"], "left")
+    out = judged.join(kept, ["a", "b"], "left").join(passages, ["a", "b"], "left")
     digest = F.when(F.col("n_removed") == 0, F.lower(F.hex("sha"))).when(F.col("n_removed") == F.col("n_bytes"), empty).otherwise(F.col("kept"))
     spans = F.coalesce("spans", F.array().cast(span))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_bytes", "n_removed", F.size(spans).cast("long").alias("n_spans"), digest.alias("kept_sha256"), spans.alias("spans"))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_bytes", "n_removed", F.size(spans).cast("long").alias("n_spans"), digest.alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"), spans.alias("spans"))
 
 
 def without_repeats(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -74,14 +74,17 @@ class Words:
             i = j
         return out
 
+    def left(self) -> np.ndarray:
+        """For each word, how many words its text has from it on."""
+        return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.hashes))
+
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each word, the hash of the k words from it on, and whether its text has so many."""
         n = len(self.hashes)
-        left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(n)
         h = np.zeros(n, np.uint64)
         for i in range(k):
             h[: n - i] = h[: n - i] * U(0xC2B2AE3D27D4EB4F) + self.hashes[i:] if n > i else h[: n - i]
-        return mixed(h), left >= k
+        return mixed(h), self.left() >= k
 
     def word(self, i: int) -> bytes:
         return self.buffer[self.starts[i] : self.ends[i]]
