@@ -21,12 +21,22 @@ def test_documents_match_brute_force(spark):
     assert got[60][2] >= 1 and got[62][2] == 1
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_few_hits_in_a_row_and_full_bitmaps_give_the_same(spark, monkeypatch):
     docs, items = _tables(spark)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(D, "BLOCK_BYTES", 300)
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.report(tables.frame(spark, docs), bench).collect()}
-    assert got == brute.leaks(docs, items)
+    monkeypatch.setattr(D, "HITS", 2)
+    monkeypatch.setattr(D, "_bits", lambda hashes: b"\xff" * (1 << D.BITS - 3))  # as with a benchmark that sets every bit
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.report(tables.frame(spark, docs[-12:]), bench).collect()}
+    assert got == brute.leaks(docs[-12:], items)
+
+
+def test_the_benchmark_is_no_broadcast(spark):
+    """What is sent to the workers has one size, whatever the benchmark's."""
+    r = random.Random(3)
+    few = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    many = spark.createDataFrame([(i, tables.words(r, 40, 5000)) for i in range(300)], "item_id long, text string")
+    sizes = {len(D._bits(D.windows(b).selectExpr("explode(shingles) AS h"))) for b in (few, many)}
+    assert sizes == {1 << D.BITS - 3}
 
 
 def test_leaks_go_and_clean_rows_stay_whole(spark):
