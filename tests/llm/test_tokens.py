@@ -49,6 +49,38 @@ def test_table_matches_brute_force(spark):
     assert got == brute.tokens(given, word_tokenizer())
 
 
+def _same_as_library(path, texts):
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    ids, n = e.encode([t.encode() if t is not None else None for t in texts])
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    return e
+
+
+def test_other_tokenizers_get_the_librarys_ids(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    texts = [None, "", "Hello World. hello world.", "  two  spaces\nand lines ", "É ñ 漢字 It's"]
+    cased = Tokenizer(models.WordLevel({"[UNK]": 0, "Hello": 3, "hello": 4, "World": 5, "world": 6, ".": 7}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased.save(f"{tmp_path}/cased.json")
+    assert not _same_as_library(f"{tmp_path}/cased.json", texts).by_word
+    byte_level = word_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    assert not _same_as_library(byte_level, texts).by_word
+    said = json.load(open(word_tokenizer()))
+    said["normalizer"]["normalizers"].pop()  # cased, but else the same
+    json.dump(said, open(f"{tmp_path}/other.json", "w"))
+    assert not _same_as_library(f"{tmp_path}/other.json", texts).by_word
+    assert _same_as_library(word_tokenizer(), texts).by_word
+    given = tables.rows()[:12]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens.tokenized(tables.frame(spark, given), byte_level, shard_ids=300).collect()}
+    assert got == brute.tokens(given, byte_level)
+
+
 def test_files_and_select(spark, tmp_path):
     docs = tables.frame(spark, [(3, "b c"), (None, "x"), (3, "a"), (-5, None)])
     path = f"{tmp_path}/table"

@@ -9,8 +9,10 @@ Shards are written by Spark as rows of a Parquet table in shared storage: only w
 are seen, a lost executor's shards are written again, and no executor needs a local folder.
 ``save_files`` copies the shards to plain files where a folder is mounted.
 
-Words between ASCII white space are encoded one by one and remembered: the tokenizer's pattern never
-joins across white space, so a text's ids are its words' ids. The memory is bounded (MEMORY words).
+Where the tokenizer's file says that it normalizes and splits as BY_WORD (read from the file, never
+assumed), words between ASCII white space are encoded one by one and remembered: such a tokenizer never
+joins across white space, so a text's ids are its words' ids. The memory is bounded (MEMORY words). With
+any other tokenizer, whole texts go through the library.
 
 Defined cases: a null or empty text is the end id alone. Rows with equal ids follow each other in the
 order of their texts' hashes, rows with a null id come first. Extra columns are ignored.
@@ -18,6 +20,7 @@ order of their texts' hashes, rows with a null id come first. Extra columns are
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -48,6 +51,31 @@ _VALUES = byte_values(bytes(b for b in range(256) if b not in b" \t\n\v\f\r"), f
 END_ID = 2
 
 
+#: What a tokenizer's file must say for its words to be encoded one by one.
+BY_WORD = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_MODEL = {"type": "BPE", "dropout": None, "end_of_word_suffix": "</w>"}
+
+
+def splits_by_word(path: str) -> bool:
+    """Whether the file's tokenizer treats words between white space each on its own, as :func:`_parts` expects."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    tokens = said.get("added_tokens") or []
+    plain = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and len(t["content"].split()) == 1 for t in tokens)
+    return plain and all(said.get(k) == v for k, v in BY_WORD.items()) and all(said["model"].get(k) == v for k, v in _MODEL.items())
+
+
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
@@ -71,13 +99,13 @@ def _parts(word: bytes) -> tuple[str, str]:
 
 
 class Encoder:
-    """Encodes texts, word by word. Words are looked up by hash, length and first bytes in arrays, so a word that is known costs no Python work. Once MEMORY words and PARTS parts are known, others are encoded anew in each batch."""
+    """Encodes texts, word by word where the tokenizer allows it. Words are looked up by hash, length and first bytes in arrays, so a word that is known costs no Python work. Once MEMORY words and PARTS parts are known, others are encoded anew in each batch."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end, self.by_word = Tokenizer.from_file(path), end_id, splits_by_word(path)
         self.wide = max(self.tokenizer.get_vocab_size(True) - 1, end_id) > 0xFFFF
         #: Ids of tokens that end a letter run, if the vocabulary tells.
         self.last = np.zeros(self.tokenizer.get_vocab_size(True), bool)
@@ -136,6 +164,10 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text's, and the number of each text's ids."""
+        if not self.by_word:
+            whole = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            ids = [np.array([*x.ids, self.end], np.uint32) for x in whole]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
         words = Words(texts, _VALUES)
         h, check = words.hashes, _checks(words)
         which = self._find(h, check)
