@@ -10,7 +10,9 @@ if its marginal for content is over one half.
 Potentials are counted, with smoothing, from labelled pages: pairs of html and main text. The model
 that ships is trained on TRAINING_PAGES pages that ``labelled_pages`` makes up, in many layouts.
 
-Defined cases: null or empty html has the text "". Tags that are left open are closed as browsers do;
+Plain elements that only wrap one of their own tag count once, however many they are.
+
+Defined cases: null or empty html has the text "". A page costs its length, however deep or unclosed its tags are. Tags that are left open are closed as browsers do;
 markup that ends early ends the page. Scripts, styles and other raw elements never are text. Repeated
 rows are judged each on its own. Extra columns are ignored. Nothing is shuffled.
 """
@@ -87,35 +89,68 @@ def _tag_end(page: str, at: int) -> int:
     return end
 
 
+class _Stack:
+    """The open elements. Where each tag, and each block, is open is kept beside, so that nothing is searched and a page costs its length however deep it is."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.blocks, self.open = [root], [0], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.open[node.tag].append(len(self.nodes))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+
+    def cut(self, i: int) -> None:
+        while len(self.nodes) > i:
+            self.open[self.nodes.pop().tag].pop()
+        while self.blocks[-1] >= i:
+            self.blocks.pop()
+
+    @property
+    def holder(self) -> Node:
+        return self.nodes[self.blocks[-1]]
+
+
+def _summed(root: Node) -> None:
+    """Leaves out plain elements that only wrap one of their own tag, and gives each element the characters and linked characters within it."""
+    order = _order(root)
+    for n in reversed(order):
+        for i, c in enumerate(n.children):
+            if c.tag == n.tag and len(n.children) == 1 and not n.marks and n.parent is not None:
+                n.marks, n.children = c.marks, c.children
+                for x in n.children:
+                    x.parent = n
+        n.chars, n.links = (len(n.text), n.links) if n.tag == "#text" else (sum(c.chars for c in n.children), sum(c.links for c in n.children))
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and the text blocks in page order."""
     root = Node("#root")
-    stack, blocks = [root], []
+    stack, blocks = _Stack(root), []
     run: list[tuple[str, bool]] = []
 
-    def holder() -> Node:
-        return next(n for n in reversed(stack) if n.tag not in INLINE)
-
     def flush() -> None:
         text = " ".join("".join(x for x, _ in run).split())
         if text:
-            leaf = Node("#text", "", holder())
+            leaf = Node("#text", "", stack.holder)
             leaf.text, leaf.links = text, sum(len(x.strip()) for x, linked in run if linked)
             leaf.parent.children.append(leaf)
             blocks.append(leaf)
-            n = leaf.parent
-            while n is not None:
-                n.chars, n.links, n = n.chars + len(text), n.links + leaf.links, n.parent
         run.clear()
 
     def close(i: int) -> None:
-        if any(n.tag not in INLINE for n in stack[i:]):
+        if stack.blocks[-1] >= i:
             flush()
-        del stack[i:]
+        stack.cut(i)
 
     def say(text: str) -> None:
         if text:
-            run.append((_html.unescape(text) if "&" in text else text, any(n.tag == "a" for n in stack)))
+            run.append((_html.unescape(text) if "&" in text else text, bool(stack.open["a"])))
 
     at, n, low = 0, len(page), None
     while at < n:
@@ -142,8 +177,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             break
         tag, closing, at = m[1].lower(), page[open_at + 1] == "/", end + 1
         if closing:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if i and not (tag in INLINE and any(x.tag not in INLINE for x in stack[i:])):
+            i = stack.last(tag)
+            if i and not (tag in INLINE and stack.blocks[-1] >= i):
                 close(i)
             continue
         if tag in _BREAK or tag == "hr":
@@ -161,25 +196,23 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if tag in VOID:
             continue
         if tag in _CLOSES_P:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
+            i = stack.last("p")
             if i:
                 close(i)
         if tag in _ENDS:
             names, scope = _ENDS[tag]
-            i = len(stack) - 1
-            while i > 0 and stack[i].tag not in scope:
-                if stack[i].tag in names:
-                    close(i)
-                    break
-                i -= 1
+            i = stack.last(*names)
+            if i > stack.last(*scope):
+                close(i)
         if tag not in INLINE:
             flush()
-            node = Node(tag, page[m.end() : end] if end > m.end() else "", holder())
+            node = Node(tag, page[m.end() : end] if end > m.end() else "", stack.holder)
             node.parent.children.append(node)
-            stack.append(node)
+            stack.push(node)
         else:
-            stack.append(Node(tag, "", stack[-1]))
+            stack.push(Node(tag))
     flush()
+    _summed(root)
     return root, blocks
 
 
