@@ -276,3 +276,14 @@ def test_optionals_are_no_nested_loops(spark, store):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     parts = plan_text.split("== Physical Plan ==")[1]
     assert "SortMergeJoin" in parts and parts.count("NestedLoop") + parts.count("Cartesian") <= 2  # the unbound rows, which all partners match
+
+
+def test_characteristic_sets_answer_variable_predicates(spark, store):
+    """Where one end is needed nowhere, all triples aren't read, and the answers are the same."""
+    for text in ("SELECT DISTINCT ?p WHERE { ?x <type> <P> . ?x ?p ?o }", "SELECT DISTINCT ?x ?p WHERE { ?x ?p ?o }", "SELECT DISTINCT ?p WHERE { ?s ?p <c> . ?s ?p ?o }", "SELECT DISTINCT ?o WHERE { ?s ?p ?o . ?o <type> ?t }", "SELECT DISTINCT ?p WHERE { <a> ?p ?o }", "SELECT DISTINCT ?x WHERE { ?x ?x ?o }"):
+        body = text[text.index("{") + 1 : text.index("}")]
+        names = text[: text.index("WHERE")].split()[2:]
+        want = sorted({tuple(row[v] for v in names) for row in evaluate(TOY, [tuple(p.split()) for p in body.strip().split(" . ")])})
+        assert answers(Engine(store), text) == want, text
+    read = Engine(store).sparql("SELECT DISTINCT ?p WHERE { ?x <type> <P> . ?x ?p ?o }").inputFiles()
+    assert {x.split("/")[-2 if "p=" not in x else -3] for x in read} == {"ops", "cs_s", "cs_s_sets"}

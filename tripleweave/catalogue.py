@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,20 +14,30 @@ from pyspark.sql import functions as F
 from tripleweave.engine import Engine
 from tripleweave.functions.terms import RDF_TYPE
 from tripleweave.operators.access import AccessPaths
+from tripleweave.sinks import json_chunks, tab_separated
 from tripleweave.sources import relational
+from tripleweave.sources.ntriples import ntriples, write_ntriples
 from tripleweave.sources.store import Store
 
 _P = "PREFIX ex: <http://ex.org/> PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> "
 _stores: dict[tuple[str, str], Store] = {}
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which only a local session may be without."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+    return "file://" + tempfile.mkdtemp(prefix=f"tripleweave-{name}-")
+
+
 def store_of(spark: SparkSession, sf_dir: str) -> Store:
     """The tables' triple store, built once for a Spark application, in the shared folder if the cluster names one."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _stores:
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        base = f"{shared.rstrip('/')}/stores/{key[0]}-{len(_stores)}" if shared else "file://" + tempfile.mkdtemp(prefix="tripleweave-store-")
-        _stores[key] = Store.build(spark, relational.triples(spark, sf_dir), base, encode=True)
+        _stores[key] = Store.build(spark, relational.triples(spark, sf_dir), _folder(spark, "store"), encode=True)
     return _stores[key]
 
 
@@ -195,6 +207,42 @@ _ACCESS: dict[str, tuple[Callable[[AccessPaths], DataFrame], str]] = {
 }
 
 
+_TRIO = [(RDF_TYPE, iri("class", "Customer")), (relational.predicate("c_nation"), iri("nation", 3)), (relational.predicate("c_mktsegment"), '"BUILDING"')]
+_ACCESS |= {
+    "j01_intersection": (lambda a: a.subjects_with_all(_TRIO), f"SELECT {_i('customer', 'c_custkey')} AS s FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'"),
+    "a11_degree": (lambda a: a.store.spark.range(1).select(F.lit(a.degree(o=iri("nation", 3))).cast("long").alias("n")), "SELECT (SELECT count(*) FROM customer WHERE c_nationkey = 3) + (SELECT count(*) FROM supplier WHERE s_nationkey = 3) AS n"),
+    "a12_degree_of_predicate": (
+        lambda a: a.store.spark.range(1).select(F.lit(a.degree(o=iri("nation", 3), p=relational.predicate("c_nation"))).cast("long").alias("n"), F.lit(a.n_subjects_of(relational.predicate("o_cust"))).cast("long").alias("subjects"), F.lit(a.n_objects_of(relational.predicate("o_cust"))).cast("long").alias("objects")),
+        "SELECT (SELECT count(*) FROM customer WHERE c_nationkey = 3) AS n, (SELECT count(DISTINCT o_orderkey) FROM orders) AS subjects, (SELECT count(DISTINCT o_custkey) FROM orders) AS objects",
+    ),
+    "a17_characteristic_set": (lambda a: a.characteristic_set(iri("customer", 1)).select(F.explode("predicates").alias("p")), f"SELECT p FROM ({_customer('c_custkey = 1')})"),
+}
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples written as text and loaded again: how many distinct ones each predicate has."""
+    path = _folder(spark, "ntriples")
+    write_ntriples(relational.triples(spark, sf_dir), path)
+    return ntriples(spark, path).triples.dropDuplicates().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query on the store as it is found in its folder."""
+    return Engine(Store.open(spark, store_of(spark, sf_dir).path)).sparql(QUERIES["q01_path"])
+
+
+def _as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text sink's lines, read back as rows."""
+    head, *lines = tab_separated(_run(QUERIES["q20_star_select"], spark, sf_dir))
+    return spark.createDataFrame([tuple(x.split("\t")) for x in lines], ", ".join(f"{c.lstrip('?')} string" for c in head.split("\t")))
+
+
+def _as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON sink's document, read back as rows."""
+    said = json.loads("".join(json_chunks(_run(QUERIES["q20_star_select"], spark, sf_dir))))
+    return spark.createDataFrame([tuple(x) for x in said["results"]["bindings"]], ", ".join(f"{c.lstrip('?')} string" for c in said["head"]["vars"]))
+
+
 def _access(of: Callable[[AccessPaths], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(AccessPaths(store_of(spark, sf_dir)))
 
@@ -205,6 +253,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {f"{n}_ids": partial(_run, QUERIES[n], encoded=True) for n in ("q01_path", "q03_cyclic", "q17_pred_entity", "q19_distinct")}
     out |= {n: partial(_access, of) for n, (of, _) in _ACCESS.items()}
     out |= {"s05_all_predicate_stats": _all_stats, "s08_all_characteristic_sets": _all_sets}
+    out |= {"s01_ntriples": _loaded, "s14_open": _opened, "k04_text": _as_text, "k06_json": _as_json}
     return out | {"s05_predicate_stats": _stats, "s08_characteristic_sets": _sets, "s02_dictionary": _dictionary}
 
 
@@ -217,5 +266,7 @@ def oracle_sql() -> dict[str, str]:
     out["s08_characteristic_sets"] = " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, {_pred(p)} AS first, count(*) AS n FROM {t}" for p, n, t in firsts)
     out["s05_all_predicate_stats"] = f"SELECT p, count(*) AS n_triples, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM (SELECT DISTINCT s, p, o FROM ({_triples_sql()})) GROUP BY p"
     out["s08_all_characteristic_sets"] = f"SELECT size, predicates, count(*) AS n FROM (SELECT s, count(*) AS size, string_agg(p, ' ' ORDER BY p) AS predicates FROM (SELECT DISTINCT s, p FROM ({_triples_sql()})) GROUP BY s) GROUP BY size, predicates"
+    out["s01_ntriples"] = f"SELECT p, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM ({_triples_sql()})) GROUP BY p"
+    out |= {"s14_open": ORACLE["q01_path"], "k04_text": ORACLE["q20_star_select"], "k06_json": ORACLE["q20_star_select"]}
     out["s02_dictionary"] = "SELECT 0::BIGINT AS gaps, 1::BIGINT AS least, 0::BIGINT AS repeats"
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleweave.operators.joins import intersection
 from tripleweave.sources.store import Store
 
 
@@ -39,6 +40,10 @@ class AccessPaths:
     def referrers(self, o: str) -> DataFrame:
         return self.store.triples(o=o).select("s").distinct()
 
+    def subjects_with_all(self, pairs: list[tuple[str, str]]) -> DataFrame:
+        """Subjects that have each of these (predicate, object) pairs: the intersection of the pairs' candidate sets."""
+        return intersection([self.subjects(o, p) for p, o in pairs], "s")
+
     def n_subjects_of(self, p: str) -> int:
         return self.store.stats([p]).get(p, (0, 0, 0))[1]
 

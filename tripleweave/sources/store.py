@@ -31,6 +31,7 @@ class Meta:
     n_triples: int
     n_predicates: int
     n_terms: int = 0
+    sets: bool = False
 
 
 def _path(spark: SparkSession, path: str):
@@ -83,7 +84,7 @@ class Store:
         # Ranges of (predicate, entity): a hot predicate is spread over many files, and each file has few predicates.
         for name, order in (("spo", ("p", "s", "o")), ("ops", ("p", "o", "s"))):
             placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("p" if layout == "predicate" else "bucket").parquet(f"{path}/{name}")
-        store = cls(spark, path, Meta(layout, encode, 0, n_predicates))
+        store = cls(spark, path, Meta(layout, encode, 0, n_predicates, sets=sets))
         stats = graph.groupBy("p").agg(F.count(F.lit(1)).alias("n_triples"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("o").alias("n_objects"))
         stats.write.mode("overwrite").parquet(f"{path}/pred_stats")
         store.meta.n_triples = store.table("pred_stats").agg(F.sum("n_triples")).first()[0] or 0
@@ -149,6 +150,12 @@ class Store:
                 t = t.where(F.col(name) == F.lit(value))
         return t.select("s", "p", "o")
 
+    def predicates_of(self, of_objects: bool = False) -> DataFrame:
+        """``entity``, ``p``: each subject's (or object's) predicates once, from the characteristic sets; no triple is read."""
+        name = "cs_o" if of_objects else "cs_s"
+        sets = self.table(f"{name}_sets").select("cs", F.explode("predicates").alias("p"))
+        return self.table(name).join(sets, "cs").select("entity", "p")
+
     def stats(self, predicates: list[str]) -> dict[str, tuple[int, int, int]]:
         """(triples, subjects, objects) of those of the predicates that exist."""
         ask = [p for p in dict.fromkeys(predicates) if p not in self._stats]
