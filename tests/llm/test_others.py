@@ -39,6 +39,18 @@ def test_url_vocabulary(spark):
     assert [tuple(r) for r in U.allowed(pages).collect()] == [(2, None, 2)]
 
 
+def test_url_vocabulary_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([(" Foo ", None), ("foo", 2), ("bar", 1), ("bar", 3), ("baz", 1), ("", None), (None, 1), ("off", 0)], "term string, weight int")
+    strict, soft = U.vocabulary(table)
+    assert (strict, soft) == (("foo",), {"bar": 3, "baz": 1})
+    got = _judge(spark, ["http://foo.org/", "http://bar.org/baz", "http://bar.org/off", "http://casino.org"], rules=(), strict=strict, soft=soft)
+    assert [r.verdict for r in got.values()] == ["block", "block", "allow", "allow"]
+    assert U.vocabulary(table.limit(0)) == ((), {})
+    monkeypatch.setattr(U, "MAX_TERMS", 2)
+    with pytest.raises(ValueError):
+        U.vocabulary(table)
+
+
 def test_url_two_distinct_soft_terms_reject(spark):
     hosts = ["click-track", "win-bonus", "free-deals", "cheap-pills", "spam-farm", "ads-track", "adult-x", "free-free", "clicktrack"]
     got = _judge(spark, [f"http://{h}.org/a" for h in hosts])

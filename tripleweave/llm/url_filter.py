@@ -16,6 +16,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleweave.llm.textmap import unused, with_text_columns
@@ -29,13 +30,21 @@ CONTRACT_RULES = (
     ("block", "net/fr/"),
 )
 
-#: A strict term rejects alone.
-STRICT = ("porn", "xxx", "casino", "viagra", "cialis", "escort", "hentai", "malware", "phishing")
+#: A strict term rejects alone. Both lists are defaults; ``vocabulary`` reads others from a table.
+STRICT = (
+    "porn", "porno", "pornography", "xxx", "hardcore", "hentai", "escort", "escorts", "camgirl", "camgirls", "upskirt", "milf", "bdsm", "casino", "casinos", "sportsbook",
+    "viagra", "cialis", "levitra", "malware", "phishing", "keygen", "warez", "botnet", "cryptojacking",
+)
 #: Soft terms and their weights.
 SOFT = {
-    "adult": 2, "ads": 1, "bet": 1, "bets": 1, "bingo": 2, "bonus": 1, "cheap": 1, "click": 1, "coupon": 1, "deal": 1, "deals": 1, "farm": 1, "free": 1,
-    "jackpot": 2, "loan": 1, "loans": 1, "lottery": 2, "pharma": 1, "pills": 2, "poker": 2, "prize": 1, "sexy": 2, "slots": 2, "spam": 2, "track": 1, "win": 1, "winner": 1,
+    "adult": 2, "ads": 1, "affiliate": 1, "bet": 1, "bets": 1, "betting": 2, "bingo": 2, "bonus": 1, "cash": 1, "cheap": 1, "click": 1, "clickbait": 2, "coupon": 1, "coupons": 1, "crack": 1,
+    "credit": 1, "dating": 1, "deal": 1, "deals": 1, "diet": 1, "discount": 1, "erotic": 2, "farm": 1, "forex": 1, "free": 1, "gamble": 2, "gambling": 2, "giveaway": 1, "hookup": 2, "jackpot": 2,
+    "loan": 1, "loans": 1, "lottery": 2, "lotto": 2, "miracle": 1, "mortgage": 1, "naked": 2, "nude": 2, "payday": 2, "pharma": 1, "pills": 2, "poker": 2, "popup": 1, "prize": 1, "prizes": 1,
+    "proxy": 1, "referral": 1, "replica": 1, "roulette": 2, "scam": 1, "sex": 2, "sexy": 2, "slot": 1, "slots": 2, "spam": 2, "spins": 1, "torrent": 2, "torrents": 2, "track": 1, "tracker": 1,
+    "weightloss": 1, "win": 1, "winner": 1, "winners": 1,
 }
+#: Terms that a vocabulary may have: it is held by each worker.
+MAX_TERMS = 1_000_000
 #: Any two distinct soft terms reach it.
 SOFT_LIMIT = 2
 _EDGE = re.compile(r"[^\W_]")
@@ -103,6 +112,16 @@ class Vocabulary:
         return strict > 0 or (len(soft) > 1 and sum(soft.values()) >= self.limit)
 
 
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], dict[str, int]]:
+    """The strict and soft terms of a table (term, weight): a null weight is strict. Terms are lower-cased; empty ones and repeats go, of several weights the largest stays, strict before all."""
+    term = F.lower(F.trim("term"))
+    sums = terms.where(term != "").groupBy(term.alias("term")).agg(F.max(F.col("weight").isNull()).alias("strict"), F.max("weight").alias("weight"))
+    rows = sorted(sums.limit(MAX_TERMS + 1).collect())
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a vocabulary has {MAX_TERMS} terms at most")
+    return tuple(r.term for r in rows if r.strict), {r.term: int(r.weight) for r in rows if not r.strict and r.weight > 0}
+
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
