@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 from tripleweave.llm.scratch import dropped, written
 
 
-def _least(pairs: DataFrame) -> DataFrame:
+def _least(pairs: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """The least neighbour of each node, as a table: a join with it can be split where a node has very many."""
-    return written(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
+    spent.append(written(pairs.groupBy("u").agg(F.min("v").alias("m")), "least"))
+    return spent[-1]
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, spent: list[DataFrame]) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
+    least = _least(both, spent).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, spent: list[DataFrame]) -> DataFrame:
     down = written(links, "down")  # every link goes from the larger to the smaller node
-    least = _least(down)
+    spent.append(down)
+    least = _least(down, spent)
     moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -43,8 +45,9 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(now)
     while state[0]:
-        then = written(_small_star(_large_star(now)), "links")
-        dropped(now)
+        spent = [now]
+        then = written(_small_star(_large_star(now, spent), spent), "links")
+        dropped(*spent)
         now, (before, state) = then, (state, _state(then))
         if state == before:
             break

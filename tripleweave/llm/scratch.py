@@ -1,7 +1,7 @@
 """Tables written to the folder that the whole cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, notebooks) a
-local folder is made and set. A table written here cuts the lineage: whatever executor is lost later,
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs on one
+machine (tests, notebooks) a local folder is made and set; on a cluster that is an error. A table written here cuts the lineage: whatever executor is lost later,
 its rows are read again from shared storage instead of being computed again.
 """
 
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI, without a slash at its end."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         at = "file://" + tempfile.mkdtemp(prefix="tripleweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleweave.llm.components import components
-from tripleweave.llm.scratch import written
+from tripleweave.llm.scratch import dropped, written
 from tripleweave.llm.sieve import bitmap, place_of, sifted, without_keys
 from tripleweave.llm.textmap import arrow_map, unused, with_text_columns
 from tripleweave.llm.wordhash import Words, byte_values, mixed
@@ -306,7 +306,9 @@ def _compared(rows: DataFrame, distinct: DataFrame, radius: int, exact: Exact |
     near = written(arrow_map(grouped, _candidates(radius), "g long, node long").distinct(), "near")
     sets = exact.sets(near.select("node").distinct().join(distinct.select("node", "bits", "place"), "node"))
     whole = near.join(sets, "node").repartition("g").sortWithinPartitions("g").select("g", "node", "bits", "shingles")
-    return written(arrow_map(whole, _verified(radius, exact.similarity), "u long, v long"), "links")
+    out = written(arrow_map(whole, _verified(radius, exact.similarity), "u long, v long"), "links")
+    dropped(near, sets)
+    return out
 
 
 @dataclass(frozen=True)
@@ -354,6 +356,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, exact: Ex
     first = _compared(every.join(met, "band").select(group.alias("g"), "node", "c"), distinct, radius, exact)
     large = met.where("k > 1").select("band")
     if large.isEmpty():
+        dropped(met)
         return first
     roots = written(components(first), "roots")
     members = every.join(large, "band").join(roots, "node", "left").select("band", "node", "c", F.coalesce("root", "node").alias("root"))
@@ -378,6 +381,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, exact: Ex
     a, b = F.least("own", "p"), F.greatest("own", "p")
     group = F.xxhash64("band", a["of"], a["bin"], a["t"], b["of"], b["bin"], b["t"])
     second = _compared(dealt.select(group.alias("g"), "node", "c"), distinct, radius, exact)
+    dropped(met, members, placed)
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second)
 
 
