@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleweave.llm import decontamination, mixing, quality, simhash, tokens
 from tripleweave.llm.queries import word_tokenizer
-from tripleweave.llm.scratch import written
+from tripleweave.llm.scratch import dropped, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return docs
