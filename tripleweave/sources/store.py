@@ -4,7 +4,7 @@
     dict/          term -> id, dense from 1 in term order (one space for all positions)
     ids_spo/       the same triples as ids, sorted by subject (with ``encode``)
     pred_stats/    per predicate: numbers of triples, distinct subjects and distinct objects
-    cs_s/, cs_o/   entity -> id of its characteristic set; cs_s_sets/, cs_o_sets/ id -> predicates
+    cs_s/, cs_o/   entity -> id of its characteristic set, sorted by entity; cs_s_sets/, cs_o_sets/ id -> predicates
     meta.json     layout and counts
 
 Up to MAX_PARTITIONED predicates, the copies are partitioned by predicate, so a constant predicate
@@ -42,12 +42,13 @@ def _bucket(p: str) -> Column:
     return F.pmod(F.crc32(F.col(p).cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
-def dense_ids(terms: DataFrame, column: str, first: int = 1) -> DataFrame:
-    """``term``, ``id``: ids without gaps in the terms' order. Terms are range-partitioned and numbered within partitions; only the partitions' sizes go to the driver."""
+def dense_ids(terms: DataFrame, column: str, at: str, first: int = 1) -> DataFrame:
+    """``term``, ``id``: ids without gaps in the terms' order. Terms are range-partitioned and numbered within partitions, in a table at the path ``at``; only the partitions' sizes go to the driver."""
     spark = terms.sparkSession
     placed = terms.select(F.col(column).alias("term")).repartitionByRange("term").sortWithinPartitions("term")
     numbered = placed.withColumn("m", F.monotonically_increasing_id()).select("term", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
-    numbered = numbered.persist()
+    numbered.write.mode("overwrite").parquet(at)
+    numbered = spark.read.parquet(at)
     sizes = sorted((r.part, r.n) for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     base, rows = first, []
     for part, n in sizes:
@@ -70,6 +71,7 @@ class Store:
         self.spark, self.path, self.meta = spark, path.rstrip("/"), meta
         self._stats: dict[str, tuple[int, int, int]] = {}
         self._tables: dict[str, DataFrame] = {}
+        self._beside: dict[tuple[frozenset[str], str | None, bool], frozenset[str] | None] = {}
 
     @classmethod
     def build(cls, spark: SparkSession, triples: DataFrame, path: str, encode: bool = False, sets: bool = True) -> Store:
@@ -92,19 +94,20 @@ class Store:
             for name, entity in (("cs_s", "s"), ("cs_o", "o")):
                 characteristic_sets(graph, entity).write.mode("overwrite").parquet(f"{staging}/{name}")
                 of = spark.read.parquet(f"{staging}/{name}")
-                keys = dense_ids(of.select(F.concat_ws("\n", "predicates").alias("key")).distinct(), "key")
+                keys = dense_ids(of.select(F.concat_ws("\n", "predicates").alias("key")).distinct(), "key", f"{staging}/{name}_keys")
                 keys.select(F.col("id").alias("cs"), F.split("term", "\n").alias("predicates")).write.mode("overwrite").parquet(f"{path}/{name}_sets")
-                of.join(spark.read.parquet(f"{path}/{name}_sets"), "predicates").select("entity", "cs").write.mode("overwrite").parquet(f"{path}/{name}")
+                named = of.join(spark.read.parquet(f"{path}/{name}_sets"), "predicates").select("entity", "cs")
+                named.repartitionByRange("entity").sortWithinPartitions("entity").write.mode("overwrite").parquet(f"{path}/{name}")
         if encode:
-            store._encode(graph)
+            store._encode(graph, staging)
         store._say()
         at = _path(spark, staging)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         return store
 
-    def _encode(self, graph: DataFrame) -> None:
+    def _encode(self, graph: DataFrame, staging: str) -> None:
         terms = graph.select(F.explode(F.array("s", "p", "o")).alias("t")).distinct()
-        dense_ids(terms, "t").write.mode("overwrite").parquet(f"{self.path}/dict")
+        dense_ids(terms, "t", f"{staging}/terms").write.mode("overwrite").parquet(f"{self.path}/dict")
         known = self.spark.read.parquet(f"{self.path}/dict")
         predicates = known.join(graph.select(F.col("p").alias("term")).distinct(), "term", "left_semi")
         if self.meta.n_predicates <= MAX_PARTITIONED:
@@ -140,11 +143,15 @@ class Store:
                 self._tables[name] = reader.parquet(f"{self.path}/{name}")
         return self._tables[name]
 
-    def triples(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
-        """The triples with these constants, from the copy that is sorted for them; columns s, p, o."""
+    def triples(self, s: str | None = None, p: str | None = None, o: str | None = None, among: tuple[str, ...] | None = None) -> DataFrame:
+        """The triples with these constants, from the copy that is sorted for them; columns s, p, o. among: the only predicates to read."""
         t = self.table("ops" if o is not None and s is None else "spo")
         if p is not None and self.meta.layout == "bucket":
             t = t.where(F.col("bucket") == zlib.crc32(p.encode()) % BUCKETS)
+        if among is not None:
+            if self.meta.layout == "bucket":
+                t = t.where(F.col("bucket").isin(sorted({zlib.crc32(x.encode()) % BUCKETS for x in among})))
+            t = t.where(F.col("p").isin(list(among)))
         for name, value in (("p", p), ("s", s), ("o", o)):
             if value is not None:
                 t = t.where(F.col(name) == F.lit(value))
@@ -156,6 +163,20 @@ class Store:
         sets = self.table(f"{name}_sets").select("cs", F.explode("predicates").alias("p"))
         return self.table(name).join(sets, "cs").select("entity", "p")
 
+    def predicates_beside(self, predicates: frozenset[str], entity: str | None = None, of_objects: bool = False) -> frozenset[str] | None:
+        """All predicates of the subjects (or objects) that have these ones at least, or of one entity, by the characteristic sets. None if there are more than MAX_PARTITIONED, too many to name in a scan."""
+        key = (predicates, entity, of_objects)
+        if key not in self._beside:
+            name = "cs_o" if of_objects else "cs_s"
+            sets = self.table(f"{name}_sets")
+            for p in sorted(predicates):
+                sets = sets.where(F.array_contains("predicates", p))
+            if entity is not None:
+                sets = sets.join(self.table(name).where(F.col("entity") == F.lit(entity)), "cs", "left_semi")
+            rows = sets.select(F.explode("predicates").alias("p")).distinct().limit(MAX_PARTITIONED + 1).collect()
+            self._beside[key] = frozenset(r.p for r in rows) if len(rows) <= MAX_PARTITIONED else None
+        return self._beside[key]
+
     def stats(self, predicates: list[str]) -> dict[str, tuple[int, int, int]]:
         """(triples, subjects, objects) of those of the predicates that exist."""
         ask = [p for p in dict.fromkeys(predicates) if p not in self._stats]
