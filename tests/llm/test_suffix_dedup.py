@@ -58,3 +58,19 @@ def test_levels_merge_geometrically(spark):
     assert found == {3, 888}
     sizes = {k: len(v) for k, v in index.levels.items() if v}
     assert sum(k * n for k, n in sizes.items()) == 7 and max(sizes) == 4
+
+
+def test_saved_levels_meet_later_batches(spark, tmp_path):
+    batch = lambda i: spark.range(10).selectExpr(f"id + {5 * i} AS gram", f"id + {i} AS span")
+    whole, parts = suffix_dedup.SuffixIndex(spark), suffix_dedup.SuffixIndex(spark)
+    for i in range(5):
+        want = {r.gram for r in whole.add(batch(i)).collect()}
+        assert {r.gram for r in parts.add(batch(i)).collect()} == want and (i == 0 or want)
+        parts.save(f"{tmp_path}/{i}")
+        parts.drop()
+        parts = suffix_dedup.SuffixIndex.open(spark, f"{tmp_path}/{i}")
+    rows = lambda x: sorted((k, tuple(r)) for k, v in x.levels.items() for level in v for r in level.collect())
+    assert rows(parts) == rows(whole)
+    empty = suffix_dedup.SuffixIndex(spark)
+    empty.save(f"{tmp_path}/none")
+    assert suffix_dedup.SuffixIndex.open(spark, f"{tmp_path}/none").add(batch(0)).count() == 0

@@ -46,6 +46,7 @@ MATCH, BATCHES = 400, 4
 #: Runs of this many kinds are compared in one group at most, some 5 MB.
 HOT_KINDS = 4096
 
+_LEVEL = "gram long, span long, n long"
 _RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("low", "<i8"), ("width", "<i4")])
 
 
@@ -78,6 +79,22 @@ class SuffixIndex:
         self.levels.setdefault(1, []).append(new)
         return found
 
+    def save(self, path: str) -> None:
+        """Writes the levels to a new folder, for :meth:`open`; a saved family is never changed."""
+        every = self.spark.createDataFrame([], f"{_LEVEL}, size int, level int")
+        for size, same in self.levels.items():
+            for i, level in enumerate(same):
+                every = every.union(level.select("gram", "span", "n", F.lit(size).alias("size"), F.lit(i).alias("level")))
+        every.sortWithinPartitions("size", "level", "gram", "span").write.option("compression", "zstd").partitionBy("size", "level").parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SuffixIndex:
+        """The family that was saved there; the next batches are merge-scanned against it and merge with it."""
+        out, saved = cls(spark), spark.read.schema(f"{_LEVEL}, size int, level int").parquet(path)
+        for size, level in sorted(map(tuple, saved.select("size", "level").distinct().collect())):
+            out.levels.setdefault(size, []).append(saved.where((F.col("size") == size) & (F.col("level") == level)).select("gram", "span", "n"))
+        return out
+
     def drop(self) -> None:
         dropped(*(x for v in self.levels.values() for x in v))
         self.levels = {}
