@@ -1,0 +1,37 @@
+"""Batches on the way to Python workers."""
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripleweave.llm import textmap
+
+
+def _sizes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(0, 300, 1, 1).select(F.expr("repeat('x', 100000)").alias("text"))
+    got = textmap.arrow_map(docs, _sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 300 and max(r.bytes for r in got) < textmap.BATCH_BYTES + 200_000
+    rows = textmap.column_of(docs, docs.text, T.LongType(), lambda v: pa.array([len(v)] * len(v), pa.int64()))
+    assert max(r.n for r in docs.select(rows.alias("n")).collect()) == max(r.n for r in got)
+
+
+def test_a_longer_text_comes_alone_and_whole(spark):
+    docs = spark.range(0, 3, 1, 1).select(F.expr("repeat('x', 9000000)").alias("text"))
+    assert [r.n for r in textmap.arrow_map(docs, _sizes, "n long, bytes long").collect()] == [1, 1, 1]
+
+
+def test_a_bound_of_the_session_stays(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    try:
+        docs = spark.range(0, 30, 1, 1).select(F.expr("repeat('x', 100000)").alias("text"))
+        assert max(r.n for r in textmap.arrow_map(docs, _sizes, "n long, bytes long").collect()) == 11
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)

@@ -4,6 +4,9 @@
 puts the kernel's columns beside the columns the caller keeps. ``column_of`` gives a column made from
 another one: only that column goes to the worker and back, the other columns stay in the JVM.
 
+Batches on the way to a worker have at most BATCH_BYTES (or one row), unless the session sets another
+bound itself: by rows alone, a batch of 10,000 long texts would be held whole on both sides.
+
 Workers live on between tasks. At the end of each task they give back the memory that they have freed,
 so what an executor holds doesn't add up the peaks of all workers that it ever started.
 """
@@ -16,7 +19,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -25,6 +28,9 @@ from tripleweave.llm.shipping import ship
 
 #: Bytes of text that a kernel sees at once; a longer text comes alone.
 PIECE_BYTES = 1 << 20
+#: Bytes of a batch from the JVM to a worker, and the setting with its default, which is replaced.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def unused(taken: Sequence[str], name: str) -> str:
@@ -96,15 +102,21 @@ def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return outer
 
 
+def _prepared(spark: SparkSession) -> None:
+    ship(spark)
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow, with this package known to the workers."""
-    ship(df.sparkSession)
+    _prepared(df.sparkSession)
     return df.mapInArrow(thrifty(run), schema)
 
 
 def column_of(df: DataFrame, column: Column, kind: T.DataType, made: Callable[[pa.Array], pa.Array]) -> Column:
     """A column of ``df``: what ``made`` gives for each batch of the values of ``column``."""
-    ship(df.sparkSession)
+    _prepared(df.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
