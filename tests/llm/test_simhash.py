@@ -138,3 +138,25 @@ def test_exact_links_of_a_hot_band_in_small_tiles(spark):
     for tile in (20, 1000):
         got = {x.node: x.root for x in components(simhash.links(nodes, radius, tile, simhash.Exact(docs, "text", 5, 0.8))).collect()}
         assert {i: got.get(i, i) for i, _ in given} == want
+
+
+def test_no_stage_of_the_near_copies_has_two_steps_in_python(spark, monkeypatch):
+    """Each step in Python within a stage has a worker of its own for each task; the workers stay."""
+
+    def most(node, above=0):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return most(node.initialPlan())
+        here = 0 if "Exchange" in name else above + ("Arrow" in name or "Python" in name)
+        below = node.children()
+        return max([here, *(most(below.apply(i), here) for i in range(below.size()))])
+
+    seen, plain = {}, simhash.written
+
+    def written(df, name):
+        seen[name] = max(seen.get(name, 0), most(df._jdf.queryExecution().executedPlan()))
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "written", written)
+    assert simhash.one_of_each(plain(tables.frame(spark), "docs")).count() < len(tables.rows())
+    assert seen["signatures"] == 1 and max(seen.values()) == 1, seen

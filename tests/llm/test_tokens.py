@@ -94,3 +94,24 @@ def test_files_and_select(spark, tmp_path):
     assert tokens.tokenized(docs.limit(0), word_tokenizer()).count() == 0
     with pytest.raises(ValueError):
         tokens.Shard(b"x" * 64)
+
+
+def test_the_encoders_memory_is_bounded_by_its_pieces():
+    """What it takes besides the words it remembers, with 8 MB of text in a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tripleweave.llm.textmap import pieces
+
+    r = random.Random(2)
+    texts = [tables.words(r, 2000, 3000) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["d", "t"])
+    e = tokens.Encoder(word_tokenizer())
+    e.encode([x.encode() for x in texts[:100]])
+    tracemalloc.start()
+    try:
+        n = sum(len(ids) for _, part in pieces(batch, 1, tokens.PIECE_BYTES) for ids, _ in [e.encode(part)])
+        assert n > 1_600_000 and tracemalloc.get_traced_memory()[1] < 50 << 20, tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()

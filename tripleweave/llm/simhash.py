@@ -334,10 +334,13 @@ class Exact:
             h, first = shingle_sets(texts, shingle)
             return [digests(h, first), [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]]
 
-        maybe = sifted(self.texts, "place", bitmap(nodes, place_of(F.col("place"))), True)
+        # Written, since two steps in Python within a stage have two workers for each task, which stay and take turns in all later stages.
+        maybe = written(sifted(self.texts, "place", bitmap(nodes, place_of(F.col("place"))), True), "maybe")
         made = with_text_columns(maybe, "text", ("place",), [T.StructField(n, T.BinaryType()) for n in ("digest", "shingles")], kernel)
         made = made.groupBy("place", "digest").agg(F.first("shingles").alias("shingles"))
-        return written(nodes.join(made, ["place", "digest"]).select("node", "bits", "shingles"), "sets")
+        out = written(nodes.join(made, ["place", "digest"]).select("node", "bits", "shingles"), "sets")
+        dropped(nodes, maybe)
+        return out
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, exact: Exact | None = None) -> DataFrame:
